@@ -11,11 +11,12 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import text_or_empty
 from pagesieve.schemas import Options
+from pagesieve.session import cut_lineage
 
 MAX_WORDS = 3
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -27,8 +28,8 @@ def _words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TOKEN), F.lit(0))
 
 
-def _not_stop(word: str, stop_words: list[str]) -> Column:
-    return ~F.col(word).isin(*stop_words) if stop_words else F.lit(True)
+def _without(words: DataFrame, stop_words: list[str]) -> DataFrame:
+    return words.where(~F.col("word").isin(*stop_words)) if stop_words else words
 
 
 def default_stop_words() -> list[str]:
@@ -37,116 +38,85 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def weighted_tokens(docs: DataFrame, key: str, text: str, stop_words: list[str]) -> DataFrame:
+def train_word_frequencies(docs: DataFrame, text: str = "visible_text", stop_words: list[str] | None = None) -> DataFrame:
+    """``(word, df)``: in how many documents each word occurs; the empty word holds the number of documents."""
+    stop_words = default_stop_words() if stop_words is None else stop_words
+    # every document also counts for the empty word
+    words = F.array_append(F.array_distinct(_words(text)), F.lit(""))
+    return _without(docs.select(F.explode(words).alias("word")), stop_words).groupBy("word").agg(F.count("*").alias("df"))
+
+
+def weighted_tokens(docs: DataFrame, frequencies: DataFrame, key: str, text: str, stop_words: list[str]) -> DataFrame:
     """``(key, pos, word, idf)`` for every kept token.
 
-    Words are joined to their document frequency. The words frequent enough to skew that join are broadcast; by the
-    threshold chosen there are at most ``_BROADCAST_WORDS`` of them. All others meet their frequency by shuffle.
+    The words frequent enough to skew a join on the word are broadcast; by the threshold chosen there are at most
+    ``_BROADCAST_WORDS`` of them, and they are nearly all tokens. Only the rare rest is shuffled to its frequency.
     """
-    size = docs.select(F.size(F.array_distinct(_words(text))).cast("long").alias("n")).agg(
-        F.count("*").alias("docs"), F.sum("n").alias("pairs")
+    sized = frequencies.agg(
+        F.max(F.when(F.col("word") == "", F.col("df"))).alias("docs"),
+        F.sum(F.when(F.col("word") != "", F.col("df"))).alias("pairs"),
     ).first()
-    frequency = (
-        docs.select(F.explode(F.array_distinct(_words(text))).alias("word"))
-        .where(_not_stop("word", stop_words))
-        .groupBy("word")
-        .agg(F.count("*").alias("df"))
-        .withColumn("idf", F.ln((F.lit(1) + size.docs) / (F.lit(1) + F.col("df"))) + 1)
-    )
-    tokens = docs.select(key, F.posexplode(_words(text)).alias("pos", "word")).where(_not_stop("word", stop_words))
+    n_docs = sized.docs or 0
+    idf = F.ln(F.lit(1 + n_docs) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    tokens = _without(docs.select(key, F.posexplode(_words(text)).alias("pos", "word")), stop_words)
     # words with df >= d number at most pairs / d
-    hot_from = ceil((size.pairs or 0) / _BROADCAST_WORDS)
+    hot_from = ceil((sized.pairs or 0) / _BROADCAST_WORDS)
+    hot = F.broadcast(frequencies.where((F.col("word") != "") & (F.col("df") >= hot_from)))
     if hot_from <= 1:
-        return tokens.join(F.broadcast(frequency.select("word", "idf")), "word").select(key, "pos", "word", "idf")
-    hot = frequency.where(F.col("df") >= hot_from).select("word", F.col("idf").alias("hot_idf"))
-    rest = frequency.where(F.col("df") < hot_from).select(F.col("word").alias("lookup"), F.col("idf").alias("rest_idf"))
-    # a row already served spreads evenly under a key that no word has
-    spread = F.concat(F.lit(" "), F.xxhash64(key, "pos").cast("string"))
-    return (
-        tokens.join(F.broadcast(hot), "word", "left")
-        .withColumn("lookup", F.when(F.col("hot_idf").isNull(), F.col("word")).otherwise(spread))
-        .join(rest, "lookup", "left")
-        .select(key, "pos", "word", F.coalesce("hot_idf", "rest_idf").alias("idf"))
-    )
-
-
-def phrase_relevance(docs: DataFrame, key: str = "key", text: str = "visible_text", stop_words: list[str] | None = None) -> DataFrame:
-    """``(key, n, w1..w3, g1..g3, relevance)``: every distinct candidate phrase of every page.
-
-    ``g`` is the squared idf of a word. One shuffle by key serves all windows and the distinct.
-    """
-    stop_words = default_stop_words() if stop_words is None else stop_words
-    page = Window.partitionBy(key)
-    in_order = page.orderBy("pos")
-    g = F.col("idf") * F.col("idf")
-    tokens = (
-        weighted_tokens(docs, key, text, stop_words)
-        .withColumn("tf", F.count("*").over(Window.partitionBy(key, "word")))
-        .select(key, "pos", F.struct("word", g.alias("g"), (g * F.col("tf")).alias("d")).alias("t1"))
-        .withColumn("t2", F.lead("t1", 1).over(in_order))
-        .withColumn("t3", F.lead("t1", 2).over(in_order))
-        .withColumn("norm", F.sqrt(F.sum("t1.d").over(page)))
+        return tokens.join(hot, "word", "left").select(key, "pos", "word", idf.alias("idf"))
+    frequent = tokens.join(hot, "word")
+    rare = tokens.join(hot.select("word"), "word", "left_anti").join(
+        frequencies.where((F.col("word") != "") & (F.col("df") < hot_from)), "word", "left"
     )
-    absent_word, absent_g = F.lit(""), F.lit(0.0)
-
-    def candidate(n: int) -> Column:
-        ts = [F.col(f"t{i}") for i in range(1, n + 1)]
-        square = sum((t["g"] for t in ts), F.lit(0.0))
+    return frequent.unionByName(rare).select(key, "pos", "word", idf.alias("idf"))
+
+
+def _rank_page(words: np.ndarray, idf: np.ndarray, top_n: int, diversity: float) -> list[str]:
+    """The top phrases of one page from its words in order; equal scores go to the more relevant, then smaller phrase."""
+    codes, vocabulary = pd.factorize(words, sort=True)
+    root = np.zeros(len(vocabulary) + 1)  # the last entry, reached by code -1, is the weight of an absent word
+    root[codes] = idf
+    tf = np.append(np.bincount(codes), 0)
+    square, dot = root * root, root * root * tf
+    page_norm = np.sqrt((dot * tf).sum())
+
+    single = np.sort(np.round(tf * root / page_norm, 9)[:-1])[::-1]
+    # The phrases picked before the last pick hold at most 3 * (top_n - 1) words, so one of the next-more most relevant
+    # single words is free of redundancy and beats every candidate less relevant than it: an exact cut, not a cap.
+    reach = MAX_WORDS * (top_n - 1)
+    cut = single[reach] if len(single) > reach else -1.0
+
+    runs, relevances, norms = [], [], []
+    for n in range(1, MAX_WORDS + 1):
+        if len(codes) < n:
+            break
+        run = np.full((MAX_WORDS, len(codes) - n + 1), -1)
         for i in range(n):
-            for j in range(i):
-                square = square + F.when(ts[i]["word"] == ts[j]["word"], 2 * ts[i]["g"]).otherwise(0.0)
-        words = [t["word"] for t in ts] + [absent_word] * (MAX_WORDS - n)
-        gs = [t["g"] for t in ts] + [absent_g] * (MAX_WORDS - n)
-        made = F.struct(
-            F.lit(n).alias("n"),
-            *[w.alias(f"w{i}") for i, w in enumerate(words, 1)],
-            *[v.alias(f"g{i}") for i, v in enumerate(gs, 1)],
-            F.round(sum((t["d"] for t in ts), F.lit(0.0)) / (F.sqrt(square) * F.col("norm")), 9).alias("relevance"),
-        )
-        return F.when(ts[-1].isNotNull(), made)
-
-    made = tokens.select(key, F.explode(F.array(*[candidate(n) for n in range(1, MAX_WORDS + 1)])).alias("c"))
-    return made.where(F.col("c").isNotNull()).select(key, "c.*").distinct()
-
-
-def within_reach(candidates: DataFrame, key: str, top_n: int) -> DataFrame:
-    """Drop the candidates that maximal marginal relevance can never pick; an exact cut, not a cap.
-
-    The phrases picked before the last pick hold at most ``3 * (top_n - 1)`` words. So one of the ``3 * (top_n - 1) + 1``
-    most relevant single words shares no word with any of them: it has no redundancy and beats every candidate that is
-    less relevant than it.
-    """
-    reach = MAX_WORDS * (top_n - 1) + 1
-    ranked = Window.partitionBy(key, "n").orderBy(F.desc("relevance"), "w1")
-    return (
-        candidates.withColumn("rank", F.row_number().over(ranked))
-        .withColumn("cut", F.max(F.when((F.col("n") == 1) & (F.col("rank") == reach), F.col("relevance"))).over(Window.partitionBy(key)))
-        .where(F.col("cut").isNull() | (F.col("relevance") >= F.col("cut")))
-        .drop("rank", "cut")
-    )
-
-
-def _pick(relevance: np.ndarray, words: np.ndarray, g: np.ndarray, top_n: int, diversity: float) -> list[str]:
-    """Maximal marginal relevance over the candidates of one page; ties go to the smaller phrase."""
-    phrases = np.array([" ".join(w for w in row if w) for row in words.T], dtype=object)
-    order = np.lexsort((phrases, -relevance))
-    relevance, phrases = relevance[order], phrases[order]
-    _, ids = np.unique(words[:, order], return_inverse=True)
-    ids, g = ids.reshape(words.shape), g[:, order]
-    roots = np.sqrt(g)
-    norm = np.sqrt(((ids[:, None, :] == ids[None, :, :]) * roots[:, None, :] * roots[None, :, :]).sum(axis=(0, 1)))
-    redundancy = np.zeros(len(phrases))
-    open_ = np.ones(len(phrases), dtype=bool)
+            run[i] = codes[i : len(codes) - n + 1 + i]
+        repeats = sum((2 * square[run[i]] * (run[i] == run[j]) for i in range(n) for j in range(i)), np.zeros(run.shape[1]))
+        norm = np.sqrt(square[run].sum(axis=0) + repeats)
+        relevance = np.round(dot[run].sum(axis=0) / (norm * page_norm), 9)
+        near = relevance >= cut
+        runs.append(run[:, near]), relevances.append(relevance[near]), norms.append(norm[near])
+    run, relevance, norm = np.hstack(runs), np.hstack(relevances), np.hstack(norms)
+
+    # words are coded in their order, so this number orders phrases like their text
+    base = len(vocabulary) + 1
+    text_order = ((run[0] + 1) * base + run[1] + 1) * base + run[2] + 1
+    _, distinct = np.unique(text_order, return_index=True)
+    distinct = distinct[np.argsort(-relevance[distinct], kind="stable")]
+    run, relevance, norm = run[:, distinct], relevance[distinct], norm[distinct]
+
+    redundancy, open_ = np.zeros(len(norm)), np.ones(len(norm), dtype=bool)
     picked: list[int] = []
-    for _ in range(min(top_n, len(phrases))):
+    for _ in range(min(top_n, len(norm))):
         value = np.round((1 - diversity) * relevance - diversity * np.round(redundancy, 9), 9)
-        # argmax takes the first of equals: the most relevant, then the smallest phrase
         best = int(np.argmax(np.where(open_, value, -np.inf)))
         picked.append(best)
         open_[best] = False
-        shared = (ids[:, None, :] == ids[None, :, best, None]) * roots[:, None, :] * roots[None, :, best, None]
-        redundancy = np.maximum(redundancy, shared.sum(axis=(0, 1)) / (norm * norm[best]))
-    return list(phrases[sorted(picked)])
+        shared = sum(square[run[i]] * (run[i] == word) for i in range(MAX_WORDS) for word in run[:, best])
+        redundancy = np.maximum(redundancy, shared / (norm * norm[best]))
+    return [" ".join(vocabulary[c] for c in run[:, i] if c >= 0) for i in sorted(picked)]
 
 
 def extract_keyphrases(
@@ -154,27 +124,28 @@ def extract_keyphrases(
     options: Options = Options(),
     text: str = "visible_text",
     stop_words: list[str] | None = None,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
-    """``(key, keyphrases)`` for every document, most relevant first; blank text gives an empty array."""
+    """``(key, keyphrases)`` for every document, most relevant first; blank text gives an empty array.
+
+    ``frequencies`` is a saved word-frequency table of the corpus; without one it is counted from ``docs`` and kept as
+    a checkpoint, because both the threshold and the join read it.
+    """
     key, top_n, diversity = options.key, options.top_keyphrases, options.diversity
+    stop_words = default_stop_words() if stop_words is None else stop_words
+    if frequencies is None:
+        frequencies = cut_lineage(train_word_frequencies(docs, text, stop_words))
 
     @F.pandas_udf("array<string>")
-    def pick(
-        relevance: pd.Series, w1: pd.Series, w2: pd.Series, w3: pd.Series, g1: pd.Series, g2: pd.Series, g3: pd.Series
-    ) -> pd.Series:
-        rows = zip(relevance, w1, w2, w3, g1, g2, g3)
-        return pd.Series(
-            [_pick(r, np.array([a, b, c], dtype=object), np.array([x, y, z]), top_n, diversity) for r, a, b, c, x, y, z in rows],
-            dtype=object,
-        )
-
-    candidates = within_reach(phrase_relevance(docs, key, text, stop_words), key, top_n)
-    fields = ["relevance", "w1", "w2", "w3", "g1", "g2", "g3"]
-    picked = (
-        candidates.groupBy(key)
-        .agg(*[F.collect_list(f).alias(f) for f in fields])
-        .select(key, pick(*fields).alias("keyphrases"))
+    def rank(words: pd.Series, idf: pd.Series) -> pd.Series:
+        return pd.Series([_rank_page(w, v, top_n, diversity) for w, v in zip(words, idf)], dtype=object)
+
+    tokens = weighted_tokens(docs, frequencies, key, text, stop_words)
+    ranked = (
+        tokens.groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "word", "idf"))).alias("t"))
+        .select(key, rank(F.col("t.word"), F.col("t.idf")).alias("keyphrases"))
     )
-    return docs.select(key).join(picked, key, "left").select(
+    return docs.select(key).join(ranked, key, "left").select(
         key, F.coalesce("keyphrases", F.array().cast("array<string>")).alias("keyphrases")
     )

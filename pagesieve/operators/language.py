@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import byte_length, text_or_empty
 from pagesieve.schemas import Options
-from pagesieve.session import broadcast_within
+from pagesieve.session import broadcast_within, cut_lineage
 
 _SMOOTHING = 0.5
 # Largest profile (in distinct trigrams) that is broadcast; a larger one is joined by shuffle.
@@ -28,15 +28,15 @@ def train_language_profile(labelled: DataFrame, text: str = "text", lang: str =
     """``(lang, gram, logp)``: add-0.5 smoothed log-probabilities of the trigrams seen per language, and for every
     language one row with an empty gram that holds the value of an unseen trigram.
 
-    Counts are combined map-side; everything after the first aggregate is of profile size.
+    The texts are read once: counts are combined map-side and kept as a checkpoint, and all else is of profile size.
     """
-    counts = (
+    counts = cut_lineage(
         labelled.where(F.col(lang).isNotNull())
         .select(F.lower(lang).alias("lang"), F.explode(trigrams(text)).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
     )
-    vocabulary = counts.agg(F.countDistinct("gram")).scalar()
+    vocabulary = counts.select("gram").distinct().count()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     seen = counts.join(totals, "lang").select("lang", "gram", "n", "total")
     unseen = totals.select("lang", F.lit("").alias("gram"), F.lit(0).cast("long").alias("n"), "total")

@@ -444,8 +444,13 @@ def all_oracles() -> dict[str, str]:
         ),
         "keyphrase_relevance": query(
             [PAGES, relevance("recs")],
-            """SELECT key, row_number() OVER (PARTITION BY key ORDER BY rel DESC, phrase) AS rank, phrase, rel AS relevance
-            FROM candidates QUALIFY rank <= 10""",
+            """SELECT key, row_number() OVER (PARTITION BY key ORDER BY rel DESC, phrase) - 1 AS rank, phrase
+            FROM candidates QUALIFY rank < 10""",
+        ),
+        "word_frequencies": query(
+            [PAGES, relevance("recs")],
+            """SELECT word, count(DISTINCT key) AS df FROM kept_words GROUP BY word
+            UNION ALL SELECT '', count(*) FROM recs""",
         ),
         "keyphrases": query(
             [PAGES, keyphrases("recs")],

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,7 @@ from pagesieve.functions.urls import doc_id, normalize_links, normalize_url
 from pagesieve.operators.dedup import mark_duplicates, seen_signatures, survivors, first_per_signature
 from pagesieve.operators.document import attach_enrichment, canonical_or_raw
 from pagesieve.operators.entities import extract_entities, format_entities
-from pagesieve.operators.keyphrases import extract_keyphrases, phrase_relevance
+from pagesieve.operators.keyphrases import extract_keyphrases, train_word_frequencies
 from pagesieve.operators.language import detect_language, gate_language, is_rejected_language, train_language_profile
 from pagesieve.operators.metrics import (
     enrichment_counters, outcome_counts, run_counters, sink_counters, spam_histogram,
@@ -25,7 +26,6 @@ from pagesieve.operators.upsert import id_collisions, latest_per_id
 from pagesieve.plans.curate import Curated, curate, decide, derive_enrichment
 from pagesieve.registry.params import CRAWLED_AT, DICTIONARY, OPTIONS, STOP_WORDS
 from pagesieve.schemas import ENTITIES
-from pagesieve.session import cut_lineage
 from pagesieve.sinks.bulk import bulk_lines
 from pagesieve.sinks.tables import latest_documents
 from pagesieve.sources.adapters import pages_from_documents, pages_from_html
@@ -58,8 +58,7 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model trained from all documents, kept like a saved model: it is of profile size and used several times."""
-    return cut_lineage(train_language_profile(spread(read_table(spark, sf_dir, "documents"))))
+    return train_language_profile(spread(read_table(spark, sf_dir, "documents")))
 
 
 def earlier_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,13 +235,13 @@ def q_entities(spark, sf_dir):
 
 
 def q_keyphrase_relevance(spark, sf_dir):
-    """The ten most relevant candidates of every page, before diversification."""
-    candidates = phrase_relevance(document_pages(spark, sf_dir), stop_words=STOP_WORDS)
-    phrase = F.array_join(F.filter(F.array("w1", "w2", "w3"), lambda w: w != ""), " ")
-    ranked = candidates.select("key", phrase.alias("phrase"), "relevance").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("relevance"), "phrase"))
-    )
-    return ranked.where("rank <= 10").select("key", "rank", "phrase", "relevance")
+    """The ten most relevant candidates of every page: no diversity asked for."""
+    found = extract_keyphrases(document_pages(spark, sf_dir), replace(OPTIONS, diversity=0.0), stop_words=STOP_WORDS)
+    return found.select("key", F.posexplode("keyphrases").alias("rank", "phrase"))
+
+
+def q_word_frequencies(spark, sf_dir):
+    return train_word_frequencies(document_pages(spark, sf_dir), stop_words=STOP_WORDS)
 
 
 def q_keyphrases(spark, sf_dir):
