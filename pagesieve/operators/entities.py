@@ -45,23 +45,29 @@ def pattern_entities(text: Column | str) -> Column:
 def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "key", text: str = "visible_text") -> DataFrame:
     """``(key, names)``: every mention of a gazetteer name, in text order, the longest name at each place.
 
-    ``gazetteer`` is ``(name, label)``; runs of one to three words are equi-joined on the lower-cased name.
+    ``gazetteer`` is ``(name, label)``. Every word is equi-joined to the names that begin with it, case ignored, and the
+    next words then decide.
     """
     words = docs.select(key, F.regexp_extract_all(text_or_empty(text), F.lit(NAME_WORD), F.lit(0)).alias("words"))
-
-    def run(n: int) -> Column:
-        return F.transform(
-            "words",
-            lambda _, i: F.struct(
-                i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("text")
-            ),
-        )
-
-    runs = words.select(key, F.explode(F.concat(*[run(n) for n in range(1, MAX_NAME_WORDS + 1)])).alias("run"))
-    # slices cut short by the end of the text repeat a shorter run there
-    runs = runs.select(key, "run.*").where(F.size(F.split("text", " ")) == F.col("n"))
-    names = gazetteer.select(F.lower("name").alias("name"), "label").groupBy("name").agg(F.min("label").alias("label"))
-    found = runs.withColumn("name", F.lower("text")).join(broadcast_within(names, _BROADCAST_NAMES), "name")
+    ahead = F.transform(
+        "words", lambda _, i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, MAX_NAME_WORDS), " ").alias("run"))
+    )
+    runs = words.select(key, F.explode(ahead).alias("at")).select(
+        key, "at.pos", "at.run", F.lower(F.substring_index("at.run", " ", 1)).alias("first_word")
+    )
+    names = (
+        gazetteer.select(F.lower("name").alias("name"), "label")
+        .groupBy("name")
+        .agg(F.min("label").alias("label"))
+        .withColumn("n", F.size(F.split("name", " ")))
+        .where(F.col("n") <= MAX_NAME_WORDS)
+        .withColumn("first_word", F.substring_index("name", " ", 1))
+    )
+    found = (
+        runs.join(broadcast_within(names, _BROADCAST_NAMES), "first_word")
+        .where(F.startswith(F.concat(F.lower("run"), F.lit(" ")), F.concat("name", F.lit(" "))))
+        .withColumn("text", F.expr("substring_index(run, ' ', n)"))
+    )
     return (
         found.groupBy(key, "pos")
         .agg(F.max(F.struct("n", "text", "label")).alias("best"))

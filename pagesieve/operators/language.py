@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import byte_length, text_or_empty
 from pagesieve.schemas import Options
-from pagesieve.session import broadcast_within, cut_lineage
+from pagesieve.session import cut_lineage, within
 
 _SMOOTHING = 0.5
-# Largest profile (in distinct trigrams) that is broadcast; a larger one is joined by shuffle.
-_BROADCAST_GRAMS = 2_000_000
+# Largest profile (in rows) that is broadcast; a larger one is joined by shuffle.
+_BROADCAST_CELLS = 4_000_000
 # Upper bound on the number of languages a model may hold (each is one column of the scoring join).
 MAX_LANGUAGES = 256
 UNKNOWN = "unknown"
@@ -56,20 +56,22 @@ def language_scores(pages: DataFrame, profile: DataFrame, keys: list[str], text:
     if not 0 < len(unseen) <= MAX_LANGUAGES:
         raise ValueError(f"a language profile must hold 1 to {MAX_LANGUAGES} languages")
     langs = sorted(unseen)
-    by_gram = broadcast_within(
-        profile.where("gram <> ''")
-        .groupBy("gram")
-        .agg(
-            *[
-                F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("logp"))), F.lit(unseen[lang])).alias(f"p{i}")
-                for i, lang in enumerate(langs)
-            ]
-        ),
-        _BROADCAST_GRAMS // len(langs),
+    grams = profile.where("gram <> ''")
+    small = within(grams, _BROADCAST_CELLS)
+    by_gram = grams.groupBy("gram").agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("logp"))), F.lit(unseen[lang])).alias(f"p{i}")
+            for i, lang in enumerate(langs)
+        ]
     )
+    # joined on a long, which is faster to look up than a string; grams are of equal length, so the prefix test makes the
+    # match exact without becoming a second join key
+    by_hash = by_gram.withColumnRenamed("gram", "known_gram").withColumn("known_hash", F.xxhash64("known_gram"))
+    same = (F.col("hash") == F.col("known_hash")) & F.startswith("gram", "known_gram")
     sums = (
         pages.select(*keys, F.explode(trigrams(text)).alias("gram"))
-        .join(by_gram, "gram", "left")
+        .withColumn("hash", F.xxhash64("gram"))
+        .join(F.broadcast(by_hash) if small else by_hash, same, "left")
         .groupBy(*keys)
         .agg(
             F.count("*").alias("n"),

@@ -199,7 +199,10 @@ def q_spam_gate(spark, sf_dir):
 
 def q_spam_histogram(spark, sf_dir):
     scored = document_pages(spark, sf_dir).select("visible_text", spam_score("visible_text", DICTIONARY).alias("spam_score"))
-    passed = scored.where(~is_high_spam("visible_text", "spam_score", OPTIONS.spam_threshold))
+    # blocked pages get no score instead of being filtered: a pushed-down filter would score every text twice
+    passed = scored.select(
+        F.when(~is_high_spam("visible_text", "spam_score", OPTIONS.spam_threshold), F.col("spam_score")).alias("spam_score")
+    )
     bound = F.when(F.col("bound") == float("inf"), "+Inf").otherwise(F.col("bound").cast("int").cast("string"))
     return spam_histogram(passed).withColumn("bound", bound)
 
