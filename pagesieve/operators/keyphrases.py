@@ -128,8 +128,8 @@ def extract_keyphrases(
 ) -> DataFrame:
     """``(key, keyphrases)`` for every document, most relevant first; blank text gives an empty array.
 
-    ``frequencies`` is a saved word-frequency table of the corpus; without one it is counted from ``docs`` and kept as
-    a checkpoint, because both the threshold and the join read it.
+    ``frequencies`` is a saved word-frequency table of the corpus; without one it is counted from ``docs`` and kept,
+    because both the threshold and the join read it.
     """
     key, top_n, diversity = options.key, options.top_keyphrases, options.diversity
     stop_words = default_stop_words() if stop_words is None else stop_words

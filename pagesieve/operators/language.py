@@ -28,7 +28,7 @@ def train_language_profile(labelled: DataFrame, text: str = "text", lang: str =
     """``(lang, gram, logp)``: add-0.5 smoothed log-probabilities of the trigrams seen per language, and for every
     language one row with an empty gram that holds the value of an unseen trigram.
 
-    The texts are read once: counts are combined map-side and kept as a checkpoint, and all else is of profile size.
+    The texts are read once: counts are combined map-side and kept, and all else is of profile size.
     """
     counts = cut_lineage(
         labelled.where(F.col(lang).isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -26,6 +26,7 @@ from pagesieve.operators.upsert import id_collisions, latest_per_id
 from pagesieve.plans.curate import Curated, curate, decide, derive_enrichment
 from pagesieve.registry.params import CRAWLED_AT, DICTIONARY, OPTIONS, STOP_WORDS
 from pagesieve.schemas import ENTITIES
+from pagesieve.session import shared_folder
 from pagesieve.sinks.bulk import bulk_lines
 from pagesieve.sinks.tables import latest_documents
 from pagesieve.sources.adapters import pages_from_documents, pages_from_html
@@ -325,6 +326,7 @@ def q_curate_derived(spark, sf_dir):
         lambda accepted: derive_enrichment(accepted, OPTIONS, host_gazetteer(spark, sf_dir), STOP_WORDS),
         OPTIONS,
         F.lit(CRAWLED_AT).cast("timestamp"),
+        materialize=True,
     )
     return flat(curated.documents.drop("ingest_order")).select(
         "key", "_id", "shape", "url", "title", "language", "entities", "keywords", "internal_links", "external_links",
@@ -334,8 +336,7 @@ def q_curate_derived(spark, sf_dir):
 
 def _streamed(spark, sf_dir) -> str:
     """Run the documents through the stream as JSON files and give the output folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = tempfile.mkdtemp(prefix="pagesieve-stream-") if shared is None else f"{shared}/stream-{_run_id(spark)}"
+    root = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
     document_pages(spark, sf_dir).write.json(f"{root}/in")
     job = CurationJob(f"{root}/out", DICTIONARY, language_profile(spark, sf_dir), label_enrichment(spark, sf_dir), OPTIONS)
     query = job.start(stream_pages_json(spark, f"{root}/in", OPTIONS), every=None)
@@ -343,10 +344,6 @@ def _streamed(spark, sf_dir) -> str:
     return f"{root}/out"
 
 
-def _run_id(spark) -> str:
-    return spark.range(1).select(F.uuid()).first()[0]
-
-
 def q_stream_upsert(spark, sf_dir):
     latest = latest_documents(spark, f"{_streamed(spark, sf_dir)}/documents", OPTIONS)
     return latest.select("_id", "key", "url", "title", "quality_score", "spam_score")

@@ -73,7 +73,10 @@ def pages_from_kafka(rows: DataFrame, options: Options = Options()) -> DataFrame
 
 
 def split_undecodable(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(decoded pages, undecodable records)."""
+    """(decoded pages, undecodable records).
+
+    On a raw JSON file Spark refuses a query that reads nothing but the corrupt column, a bare count for one.
+    """
     bad = F.col(CORRUPT).isNotNull()
     return pages.where(~bad).drop(CORRUPT), pages.where(bad).select("url", CORRUPT)
 
