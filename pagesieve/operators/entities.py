@@ -14,19 +14,31 @@ from pagesieve.session import broadcast_within
 
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 
+_DAY_FIRST = rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}"
+_MONTH_FIRST = rf"{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}"
+
 # One pattern per label, in order of precedence at one place of the text.
 PATTERNS = {
     "MONEY": r"[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?",
     "PERCENT": r"[0-9]+(?:\.[0-9]+)?\s?%",
-    "DATE": rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}",
+    "DATE": f"{_DAY_FIRST}|{_MONTH_FIRST}",
     "TIME": r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?",
     "ORG": r"[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.(?:com|org|net)",
     "CARDINAL": r"[0-9]+(?:[.,][0-9]+)*",
 }
 ANY_PATTERN = "|".join(PATTERNS.values())
+# The same alternatives sorted by how they begin, so that most places of a text are dismissed by one character; a name
+# is only looked for where a word begins.
+_SCAN = (
+    rf"(?=[$€£0-9])(?:{PATTERNS['MONEY']}|{PATTERNS['PERCENT']}|{_DAY_FIRST}|{PATTERNS['TIME']}|{PATTERNS['ORG']}"
+    rf"|{PATTERNS['CARDINAL']})|(?=[JFMASOND]){_MONTH_FIRST}|(?<![A-Za-z0-9]){PATTERNS['ORG']}"
+)
 
 MAX_NAME_WORDS = 3
 NAME_WORD = r"[\p{L}\p{N}_]+"
+_BETWEEN = r"[^\p{L}\p{N}_]+"
+# At every word: the word and up to two that follow.
+_RUN = rf"(?=({NAME_WORD}(?:{_BETWEEN}{NAME_WORD}){{0,{MAX_NAME_WORDS - 1}}})){NAME_WORD}"
 _BROADCAST_NAMES = 500_000
 
 
@@ -39,7 +51,7 @@ def pattern_entities(text: Column | str) -> Column:
             label = F.when(found.rlike(f"^(?:{pattern})$"), name).otherwise(label)
         return F.struct(found.alias("text"), label.alias("label"))
 
-    return F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(ANY_PATTERN), F.lit(0)), labelled)
+    return F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(_SCAN), F.lit(0)), labelled)
 
 
 def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "key", text: str = "visible_text") -> DataFrame:
@@ -48,13 +60,9 @@ def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "key",
     ``gazetteer`` is ``(name, label)``. Every word is equi-joined to the names that begin with it, case ignored, and the
     next words then decide.
     """
-    words = docs.select(key, F.regexp_extract_all(text_or_empty(text), F.lit(NAME_WORD), F.lit(0)).alias("words"))
-    ahead = F.transform(
-        "words", lambda _, i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, MAX_NAME_WORDS), " ").alias("run"))
-    )
-    runs = words.select(key, F.explode(ahead).alias("at")).select(
-        key, "at.pos", "at.run", F.lower(F.substring_index("at.run", " ", 1)).alias("first_word")
-    )
+    runs = docs.select(
+        key, F.posexplode(F.regexp_extract_all(text_or_empty(text), F.lit(_RUN), F.lit(1))).alias("pos", "run")
+    ).withColumn("first_word", F.lower(F.regexp_extract("run", f"^{NAME_WORD}", 0)))
     names = (
         gazetteer.select(F.lower("name").alias("name"), "label")
         .groupBy("name")
@@ -65,6 +73,7 @@ def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "key",
     )
     found = (
         runs.join(broadcast_within(names, _BROADCAST_NAMES), "first_word")
+        .withColumn("run", F.regexp_replace("run", _BETWEEN, " "))
         .where(F.startswith(F.concat(F.lower("run"), F.lit(" ")), F.concat("name", F.lit(" "))))
         .withColumn("text", F.expr("substring_index(run, ' ', n)"))
     )

@@ -107,6 +107,7 @@ def _rank_page(words: np.ndarray, idf: np.ndarray, top_n: int, diversity: float)
     distinct = distinct[np.argsort(-relevance[distinct], kind="stable")]
     run, relevance, norm = run[:, distinct], relevance[distinct], norm[distinct]
 
+    roots = root[run]
     redundancy, open_ = np.zeros(len(norm)), np.ones(len(norm), dtype=bool)
     picked: list[int] = []
     for _ in range(min(top_n, len(norm))):
@@ -114,8 +115,9 @@ def _rank_page(words: np.ndarray, idf: np.ndarray, top_n: int, diversity: float)
         best = int(np.argmax(np.where(open_, value, -np.inf)))
         picked.append(best)
         open_[best] = False
-        shared = sum(square[run[i]] * (run[i] == word) for i in range(MAX_WORDS) for word in run[:, best])
-        redundancy = np.maximum(redundancy, shared / (norm * norm[best]))
+        chosen = np.zeros(len(root))
+        np.add.at(chosen, run[:, best], roots[:, best])
+        redundancy = np.maximum(redundancy, (chosen[run] * roots).sum(axis=0) / (norm * norm[best]))
     return [" ".join(vocabulary[c] for c in run[:, i] if c >= 0) for i in sorted(picked)]
 
 

@@ -51,6 +51,15 @@ def _phrase_pattern(phrases: list[str]) -> str:
     return f"(?=({alternatives(phrases)}))"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _literal_map(entries: Mapping[str, str]) -> Column:
+    """A constant map from strings to SQL literals, built by one expression."""
+    return F.expr(f"map({', '.join(f'{_quoted(k)}, {v}' for k, v in entries.items())})")
+
+
 def matched_phrases(text: Column | str, dictionary: Mapping[str, int]) -> Column:
     """The distinct dictionary phrases in the text, as an array."""
     if len(dictionary) > MAX_LITERAL_PHRASES:
@@ -66,7 +75,7 @@ def matched_phrases(text: Column | str, dictionary: Mapping[str, int]) -> Column
     shorter = {p: qs for p, qs in shorter.items() if qs}
     if not shorter:
         return longest
-    prefixes = F.create_map(*[part for p, qs in shorter.items() for part in (F.lit(p), F.array(*map(F.lit, qs)))])
+    prefixes = _literal_map({p: f"array({', '.join(map(_quoted, qs))})" for p, qs in shorter.items()})
     return F.array_distinct(
         F.flatten(
             F.transform(
@@ -80,7 +89,7 @@ def spam_raw(text: Column | str, dictionary: Mapping[str, int]) -> Column:
     """Weight sum of the distinct phrases in the text."""
     if not dictionary:
         return F.lit(0).cast("long")
-    weights = F.create_map(*[part for p, w in sorted(dictionary.items()) for part in (F.lit(p), F.lit(w).cast("long"))])
+    weights = _literal_map({p: f"{w}L" for p, w in sorted(dictionary.items())})
     return F.aggregate(matched_phrases(text, dictionary), F.lit(0).cast("long"), lambda total, p: total + weights[p])
 
 

@@ -16,6 +16,7 @@ def local_session(app: str = "pagesieve", cores: str = "*", **conf: str) -> Spar
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "12g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
