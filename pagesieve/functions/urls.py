@@ -157,8 +157,10 @@ def normalize_url(col: Column | str) -> Column:
 def normalize_links(col: Column | str) -> Column:
     """Normalise every link, keep order and repeats, drop invalid ones; null when none is left."""
     links = F.col(col) if isinstance(col, str) else col
-    kept = F.filter(F.transform(links, normalize_url), lambda link: link.isNotNull())
-    return F.when(F.size(kept) > 0, kept)
+    normalized = F.transform(F.transform(links, trim_unicode), _normalize_trimmed)
+    kept = F.filter(normalized, lambda link: link.isNotNull())
+    # the array itself is an element that passes or not, so that it is computed once
+    return F.get(F.filter(F.array(kept), lambda links: F.size(links) > 0), 0)
 
 
 def sanitize_id(col: Column | str) -> Column:

@@ -19,15 +19,20 @@ def canonical_or_raw(canonical_url: Column | str) -> Column:
     return F.coalesce(normalize_url(canonical_url), text_or_empty(canonical_url))
 
 
-def attach_enrichment(pages: DataFrame, enrichment: DataFrame, options: Options = Options()) -> DataFrame:
-    """Left-join ``(key, entities, keyphrases)`` and name each page's ``shape``; a page without a result is kept."""
+def attach_enrichment(
+    pages: DataFrame, enrichment: DataFrame, options: Options = Options(), has_text: Column | None = None
+) -> DataFrame:
+    """Left-join ``(key, entities, keyphrases)`` and name each page's ``shape``; a page without a result is kept.
+
+    ``has_text`` stands in for the text where ``pages`` does not carry it.
+    """
     found = enrichment.select(options.key, "entities", "keyphrases", F.lit(True).alias("_enriched"))
-    text = text_or_empty("visible_text")
+    has_text = text_or_empty("visible_text") != "" if has_text is None else has_text
     return (
         pages.join(found, options.key, "left")
         .withColumn(
             "shape",
-            F.when(text == "", EMPTY_TEXT).when(F.col("_enriched").isNull(), NLP_FAILED).otherwise(FULL),
+            F.when(~has_text, EMPTY_TEXT).when(F.col("_enriched").isNull(), NLP_FAILED).otherwise(FULL),
         )
         .drop("_enriched")
     )

@@ -101,11 +101,17 @@ def rejected_pages(decisions: DataFrame, options: Options = Options()) -> DataFr
     )
 
 
-def accepted_pages(pages: DataFrame, decisions: DataFrame, options: Options = Options()) -> DataFrame:
-    """The pages to index with their gate values: the one join that moves whole pages, and only on their unique key."""
+def passed_gates(decisions: DataFrame, options: Options = Options()) -> DataFrame:
+    """The narrow rows of the pages to index."""
+    return decisions.where("outcome = 'indexed'").select(
+        options.order_by, options.key, "norm_url", "lang", "spam", "n_bytes"
+    )
+
+
+def with_page_columns(pages: DataFrame, narrow: DataFrame, options: Options = Options()) -> DataFrame:
+    """``narrow`` with the page columns: the join that moves whole pages, and only on their unique (order, key)."""
     on = [options.order_by, options.key]
-    passed = decisions.where("outcome = 'indexed'").select(*on, "norm_url", "lang", "spam")
-    return pages.select(*on, *PAGE_COLUMNS_READ).join(passed, on)
+    return pages.select(*on, *PAGE_COLUMNS_READ).join(narrow, on)
 
 
 def derive_enrichment(
@@ -139,11 +145,15 @@ def curate(
     """
     keep = cut_lineage if materialize else (lambda df: df)
     decisions = keep(decide(pages, dictionary, profile, seen, options))
-    accepted = accepted_pages(pages, decisions, options)
-    if not isinstance(enrichment, DataFrame):
-        accepted = keep(accepted)
+    passed = passed_gates(decisions, options)
+    if isinstance(enrichment, DataFrame):
+        # results meet the narrow rows first, so that whole pages are shuffled once
+        narrow = attach_enrichment(passed, enrichment, options, F.col("n_bytes") > 0)
+        enriched = with_page_columns(pages, narrow, options)
+    else:
+        accepted = keep(with_page_columns(pages, passed, options))
         enrichment = enrichment(accepted) if enrichment else derive_enrichment(accepted, options)
-    enriched = attach_enrichment(accepted, enrichment, options)
+        enriched = attach_enrichment(accepted, enrichment, options)
     return Curated(
         documents=to_documents(enriched, options, crawled_at),
         rejected=rejected_pages(decisions, options),
