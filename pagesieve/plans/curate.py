@@ -119,11 +119,15 @@ def derive_enrichment(
     options: Options = Options(),
     gazetteer: DataFrame | None = None,
     stop_words: list[str] | None = None,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
-    """``(key, entities, keyphrases)`` computed from the accepted texts."""
+    """``(key, entities, keyphrases)`` computed from the accepted texts.
+
+    For micro-batches pass the saved word ``frequencies`` of a large corpus; a small batch is no corpus of its own.
+    """
     texts = accepted.select(options.key, "visible_text")
     return extract_entities(texts, gazetteer, options.key).join(
-        extract_keyphrases(texts, options, stop_words=stop_words), options.key
+        extract_keyphrases(texts, options, stop_words=stop_words, frequencies=frequencies), options.key
     )
 
 

@@ -463,6 +463,16 @@ def all_oracles() -> dict[str, str]:
               CASE WHEN len(entities) > 0 THEN array_to_string(entities, ' | ') END AS entities,
               array_to_string(keyphrases, ' | ') AS keyphrases FROM recs LEFT JOIN enrichment e ON recs.key = e.key""",
         ),
+        "batch_results": query(
+            [
+                PAGES, LABEL_ENRICHMENT,
+                """whole AS (SELECT i // 10 AS batch FROM recs LEFT JOIN enrichment e ON recs.key = e.key
+                  GROUP BY batch HAVING count(e.key) = count(*))""",
+            ],
+            """SELECT e.key, CASE WHEN len(entities) > 0 THEN array_to_string(entities, ' | ') END AS entities,
+              array_to_string(keyphrases, ' | ') AS keyphrases
+            FROM enrichment e WHERE CAST(e.key AS BIGINT) // 10 IN (SELECT batch FROM whole)""",
+        ),
         "enrichment_counters": query(
             [PAGES, LABEL_ENRICHMENT],
             """SELECT count(CASE WHEN text <> '' THEN 1 END) AS nlp_requests,

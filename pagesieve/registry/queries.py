@@ -31,6 +31,7 @@ from pagesieve.sinks.bulk import bulk_lines
 from pagesieve.sinks.tables import latest_documents
 from pagesieve.sources.adapters import pages_from_documents, pages_from_html
 from pagesieve.sources.dictionary import dictionary_table
+from pagesieve.sources.enrichment import align_batches
 from pagesieve.sources.pages import stream_pages_json
 from pagesieve.streaming.pipeline import CurationJob
 
@@ -42,12 +43,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table comes in fewer splits than there are cores, as one small file does.
+    """Give every core work when a table is so small that its splits keep less than a quarter of the cores busy.
 
-    A table of many splits is left where it lies.
+    A larger table is left where it lies.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if 4 * df.rdd.getNumPartitions() <= cores else df
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +260,22 @@ def q_enrichment_join(spark, sf_dir):
     )
 
 
+def q_batch_results(spark, sf_dir):
+    """Results answered in batches of ten documents; a batch with an unlabelled document has too few and fails whole."""
+    batch = F.floor(F.col("key").cast("long") / 10).alias("batch")
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("key").cast("long").alias("i"), "row"))).alias("rows")
+
+    def batched(df: DataFrame, row: Column, name: str) -> DataFrame:
+        grouped = df.select(batch, "key", row.alias("row")).groupBy("batch").agg(in_order)
+        return grouped.select("batch", F.transform("rows", lambda r: r["row"]).alias(name))
+
+    requests = batched(document_pages(spark, sf_dir), F.col("key"), "keys")
+    responses = batched(label_enrichment(spark, sf_dir), F.struct("entities", "keyphrases"), "results")
+    return align_batches(requests, responses).select(
+        "key", F.array_join(format_entities("entities"), " | ").alias("entities"), F.array_join("keyphrases", " | ").alias("keyphrases")
+    )
+
+
 def q_enrichment_counters(spark, sf_dir):
     return enrichment_counters(attach_enrichment(document_pages(spark, sf_dir), label_enrichment(spark, sf_dir)))
 

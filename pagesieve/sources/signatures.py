@@ -38,3 +38,19 @@ def append_signature_table(new: DataFrame, table: str, batch_id: int, buckets: i
         .mode("append")
         .saveAsTable(table)
     )
+
+
+def compact_signatures(spark: SparkSession, path: str, target: str, before: int) -> None:
+    """Copy the store to ``target`` with the batches before ``before`` merged into one folder, each signature once.
+
+    Only merge batches that will not be replayed; point the next run at ``target``.
+    """
+    stored = read_signatures(spark, path)
+    merged = (
+        stored.where(F.col("batch_id") < before)
+        .groupBy("sig")
+        .agg(F.min(F.struct("batch_id", "key")).alias("first"))
+        .select("sig", "first.key")
+    )
+    append_signatures(merged, target, before - 1)
+    stored.where(F.col("batch_id") >= before).write.mode("append").partitionBy("batch_id").parquet(target)

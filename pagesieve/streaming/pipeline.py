@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from pagesieve.functions.text import content_signature
+from pagesieve.operators.metrics import enrichment_counters, run_counters, spam_histogram
 from pagesieve.plans.curate import Enricher, curate
 from pagesieve.schemas import Options
 from pagesieve.sinks.bulk import write_bulk
@@ -44,6 +45,10 @@ class CurationJob:
         write_batch(run.documents, f"{self.root}/documents", batch_id)
         written = spark.read.parquet(f"{self.root}/documents/batch_id={batch_id}")
         write_bulk(written, f"{self.root}/bulk/batch_id={batch_id}", self.options, self.documents_per_file)
+        write_batch(run_counters(run.decisions, self.options), f"{self.root}/metrics/outcomes", batch_id)
+        write_batch(enrichment_counters(written), f"{self.root}/metrics/enrichment", batch_id)
+        passed = run.decisions.where("outcome = 'indexed'")
+        write_batch(spam_histogram(passed, "spam"), f"{self.root}/metrics/spam_scores", batch_id)
 
     def start(self, pages: DataFrame, every: str | None = "30 seconds") -> StreamingQuery:
         """Run a page stream; ``every`` None takes what there is and stops."""

@@ -14,7 +14,7 @@ from pagesieve.sources.enrichment import align_batches
 from pagesieve.sources.pages import (
     assign_arrival, pages_from_kafka, read_pages_json, read_pages_parquet, split_undecodable, stream_pages_json,
 )
-from pagesieve.sources.signatures import append_signature_table, append_signatures, read_signatures
+from pagesieve.sources.signatures import append_signature_table, append_signatures, compact_signatures, read_signatures
 from pagesieve.streaming.pipeline import CurationJob, first_seen
 
 RECORD = {
@@ -69,6 +69,15 @@ def test_signature_store(spark, tmp_path):
     assert {r.sig for r in read_signatures(spark, path).collect()} == {"a", "b", "z"}
 
 
+def test_compacted_store(spark, tmp_path):
+    path, target = str(tmp_path / "store"), str(tmp_path / "compact")
+    for batch, sigs in enumerate([["a", "b"], ["b", "c"], ["d"]]):
+        append_signatures(spark.createDataFrame([(s, f"k{batch}") for s in sigs], "sig string, key string"), path, batch)
+    compact_signatures(spark, path, target, before=2)
+    rows = sorted(tuple(r) for r in read_signatures(spark, target).select("sig", "key", "batch_id").collect())
+    assert rows == [("a", "k0", 1), ("b", "k0", 1), ("c", "k1", 1), ("d", "k2", 2)]
+
+
 def test_bucketed_store_is_not_shuffled(spark, tmp_path):
     table = "signatures_test"
     spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -112,6 +121,14 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path, job_par
             sorted(r._id for r in latest_documents(spark, f"{job.root}/documents", OPTIONS).collect()),
         )
 
+    counted = spark.read.parquet(f"{job.root}/metrics/outcomes").agg(F.sum("pages_processed"), F.sum("duplicates")).first()
+    outcomes = [r.outcome for r in batch.decisions.collect()]
+    assert tuple(counted) == (outcomes.count("indexed"), outcomes.count("duplicate"))
+    asked = spark.read.parquet(f"{job.root}/metrics/enrichment").agg(F.sum("nlp_requests")).first()[0]
+    assert asked == batch.documents.where("visible_text <> ''").count()
+    scored = spark.read.parquet(f"{job.root}/metrics/spam_scores").where("bound = double('infinity')")
+    assert scored.agg(F.sum("pages")).first()[0] == outcomes.count("indexed")
+
     streamed = view()
     assert signature_batches(spark, job) == {0, 1, 2}
     assert streamed[0] == sorted(r.key for r in batch.documents.collect())
