@@ -43,12 +43,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table is so small that its splits keep less than a quarter of the cores busy.
+    """Give every core work when a table has fewer splits than there are cores, as one small file does.
 
-    A larger table is left where it lies.
+    A split is at most ``spark.sql.files.maxPartitionBytes``, so less than that per core is moved, and text work per byte
+    costs far more than moving it. A table with more splits is left where it lies.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
