@@ -56,14 +56,17 @@ def decide(
     profile: DataFrame,
     seen: DataFrame | None = None,
     options: Options = Options(),
+    materialize: bool = False,
 ) -> DataFrame:
     """``(order, key, url, norm_url, sig, n_bytes, spam, lang, en_conf, claims, outcome)`` for every page.
 
     Texts are read where they lie and never shuffled here: what travels to be joined on (order, key) are hashes, scores
-    and lengths.
+    and lengths. With ``materialize`` these facts are written first, so that finding the first pages hashes no text again.
     """
     on = [options.order_by, options.key]
     facts = page_facts(pages, dictionary, options)
+    if materialize:
+        facts = cut_lineage(facts)
     firsts = survivors(facts.where(F.col("norm_url").isNotNull()), seen, options).select(
         *on, F.lit(True).alias("claims")
     )
@@ -148,7 +151,7 @@ def curate(
     outputs, instead of each output reading and hashing the pages again.
     """
     keep = cut_lineage if materialize else (lambda df: df)
-    decisions = keep(decide(pages, dictionary, profile, seen, options))
+    decisions = keep(decide(pages, dictionary, profile, seen, options, materialize))
     passed = passed_gates(decisions, options)
     if isinstance(enrichment, DataFrame):
         # results meet the narrow rows first, so that whole pages are shuffled once
