@@ -33,7 +33,7 @@ from pagesieve.sources.adapters import pages_from_documents, pages_from_html
 from pagesieve.sources.dictionary import dictionary_table
 from pagesieve.sources.enrichment import align_batches
 from pagesieve.sources.pages import stream_pages_json
-from pagesieve.streaming.pipeline import CurationJob
+from pagesieve.streaming.pipeline import CurationJob, first_seen
 
 KEYS = ["ingest_order", "key"]
 
@@ -99,7 +99,7 @@ def run(spark: SparkSession, sf_dir: str) -> Curated:
         earlier_signatures(spark, sf_dir),
         label_enrichment(spark, sf_dir),
         OPTIONS,
-        F.lit(CRAWLED_AT).cast("timestamp"),
+        F.lit(f"{CRAWLED_AT}Z").cast("timestamp"),
     )
 
 
@@ -113,7 +113,7 @@ def flat(documents: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.StructType):
             value = F.concat_ws(" | ", *[value[name] for name in field.dataType.fieldNames()])
         elif isinstance(field.dataType, T.TimestampType):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+            value = F.date_format(F.to_utc_timestamp(value, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
         return value.alias(field.name)
 
     return documents.select(*[one(field) for field in documents.schema.fields])
@@ -343,7 +343,7 @@ def q_curate_derived(spark, sf_dir):
         None,
         lambda accepted: derive_enrichment(accepted, OPTIONS, host_gazetteer(spark, sf_dir), STOP_WORDS),
         OPTIONS,
-        F.lit(CRAWLED_AT).cast("timestamp"),
+        F.lit(f"{CRAWLED_AT}Z").cast("timestamp"),
         materialize=True,
     )
     return flat(curated.documents.drop("ingest_order")).select(
@@ -372,5 +372,20 @@ def q_stream_sink_counters(spark, sf_dir):
     return sink_counters(written).select(F.col("documents_indexed"), "distinct_ids")
 
 
+def q_stream_first_seen(spark, sf_dir):
+    """The stateful stream: one row per signature, whichever page brought it first."""
+    root = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
+    document_pages(spark, sf_dir).write.json(f"{root}/in")
+    query = (
+        first_seen(stream_pages_json(spark, f"{root}/in", OPTIONS))
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{root}/out")
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("sig")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: query for name, query in globals().items() if name.startswith("q_")}

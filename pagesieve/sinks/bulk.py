@@ -15,8 +15,9 @@ def action_line(index_name: str, doc_id: Column | str = "_id") -> Column:
 
 
 def document_line() -> Column:
-    """The document as JSON, null fields kept."""
-    return F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in DOCUMENT.fields]), {"ignoreNullFields": "false"})
+    """The document as JSON, null fields kept, times in UTC."""
+    fields = F.struct(*[F.col(f"`{f.name}`") for f in DOCUMENT.fields])
+    return F.to_json(fields, {"ignoreNullFields": "false", "timeZone": "UTC"})
 
 
 def bulk_lines(documents: DataFrame, options: Options = Options()) -> DataFrame:
