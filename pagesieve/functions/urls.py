@@ -19,7 +19,7 @@ _FRAGMENT_OK = f"^[{_PATH_CHARS}?]*$"
 _PATH_KEPT = r"^[A-Za-z0-9\-_.~$&+,/:;=@]$"
 _FRAGMENT_KEPT = r"^[A-Za-z0-9\-_.~$&+,/:;=@?!()*]$"
 _USER_OK = r"^[A-Za-z0-9\-._:~!$&'()*+,;=%@]*$"
-_HOST_OK = r"^(\[[0-9A-Fa-f:.]*\]|([^\x00-\x20\\^`{|}%@\[\]:\x7f]|%[89A-Fa-f][0-9A-Fa-f])*)(:[0-9]*)?$"
+_HOST_OK = r"^(\[[0-9A-Fa-f:.]*\]|(?:[^\x00-\x20\\^`{|}%@\[\]:\x7f]|%[89A-Fa-f][0-9A-Fa-f])*+)(:[0-9]*)?$"
 _HOST_PLAIN = r"^[\x21-\x24\x26-\x7e]*$"
 _HOST_KEPT = r"^[\x21-\x24\x26-\x7e]$"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"

@@ -23,15 +23,16 @@ PATTERNS = {
     "PERCENT": r"[0-9]+(?:\.[0-9]+)?\s?%",
     "DATE": f"{_DAY_FIRST}|{_MONTH_FIRST}",
     "TIME": r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?",
-    "ORG": r"[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.(?:com|org|net)",
+    "ORG": r"[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63}){0,30}\.(?:com|org|net)",
     "CARDINAL": r"[0-9]+(?:[.,][0-9]+)*",
 }
 ANY_PATTERN = "|".join(PATTERNS.values())
 # The same alternatives sorted by how they begin, so that most places of a text are dismissed by one character; a name
-# is only looked for where a word begins.
+# is only looked for where a word begins. The loop that ends the last pattern is made possessive by one more "+": it
+# never has to give back, and a long list of numbers then needs no stack.
 _SCAN = (
     rf"(?=[$€£0-9])(?:{PATTERNS['MONEY']}|{PATTERNS['PERCENT']}|{_DAY_FIRST}|{PATTERNS['TIME']}|{PATTERNS['ORG']}"
-    rf"|{PATTERNS['CARDINAL']})|(?=[JFMASOND]){_MONTH_FIRST}|(?<![A-Za-z0-9]){PATTERNS['ORG']}"
+    rf"|{PATTERNS['CARDINAL']}+)|(?=[JFMASOND]){_MONTH_FIRST}|(?<![A-Za-z0-9]){PATTERNS['ORG']}"
 )
 
 MAX_NAME_WORDS = 3
@@ -46,8 +47,10 @@ def pattern_entities(text: Column | str) -> Column:
     """Entities found by pattern, in text order."""
 
     def labelled(found: Column) -> Column:
-        label = F.lit(None).cast("string")
-        for name, pattern in reversed(PATTERNS.items()):
+        *others, last = PATTERNS
+        label = F.lit(last)
+        for name in reversed(others):
+            pattern = PATTERNS[name]
             label = F.when(found.rlike(f"^(?:{pattern})$"), name).otherwise(label)
         return F.struct(found.alias("text"), label.alias("label"))
 

@@ -86,6 +86,19 @@ def test_pattern_entities(spark):
     assert rows[1].e is None and rows[2].e is None
 
 
+def test_long_runs_need_no_stack(spark):
+    n = 20_000
+    texts = ["1," * n + "2", "a." * n + "com", "a-" * n, "1" * n, "é1." * n, "May " * n]
+    df = spark.createDataFrame([(t,) for t in texts], "visible_text string")
+    rows = [r.e for r in df.select(pattern_entities("visible_text").alias("e")).collect()]
+    assert [(e.label, e.text) for e in rows[0]] == [("CARDINAL", texts[0])]
+    assert rows[1][-1].label == "ORG" and rows[2] == []
+    assert [(e.label, len(e.text)) for e in rows[3]] == [("CARDINAL", n)]
+    names = spark.createDataFrame([("May May", "PERSON")], "name string, label string")
+    found = extract_entities(df.withColumn("key", F.monotonically_increasing_id()), names)
+    assert found.select(F.max(F.size("entities")).alias("n")).first().n >= n - 1
+
+
 @pytest.mark.parametrize("broadcast_names", [10**6, 0])
 def test_gazetteer(spark, monkeypatch, broadcast_names):
     monkeypatch.setattr(entities_module, "_BROADCAST_NAMES", broadcast_names)

@@ -82,3 +82,9 @@ def test_empty_dictionary(spark):
     df = texts_df(spark, ["a", "b"])
     assert [r.s for r in df.select(spam_score("visible_text", {}).alias("s")).collect()] == [0, 0]
     assert dictionary_matches(df, dictionary_table(spark, {})).count() == 0
+
+
+def test_long_text(spark):
+    words = build_dictionary(["aab", "ab", "abc"])
+    df = texts_df(spark, ["a" * 500_000 + "b", "ab" * 300_000])
+    assert [r.s for r in df.select(spam_raw("visible_text", words).alias("s")).collect()] == [2, 1]

@@ -97,6 +97,14 @@ def test_normalize_url_twice_is_once(spark):
     assert values(spark, valid, normalize_url("x")) == valid
 
 
+def test_long_urls_need_no_stack(spark):
+    n = 200_000
+    cases = ["http://" + "é" * n, "http://" + "A" * n + "_/ x", "http://h/" + "ü" * 1000, "http://" + "a:" * n, "http://h/" + "%41" * n]
+    got = values(spark, cases, normalize_url("x"))
+    assert got[0] == "http://" + "%C3%A9" * n and got[1] == "http://" + "a" * n + "_/%20x"
+    assert got[2] == "http://h/" + "%C3%BC" * 1000 and got[3] is None and got[4] == cases[4]
+
+
 def test_normalize_links_keeps_order_and_repeats(spark):
     df = spark.createDataFrame(
         [(["//B.com/x", "/about", "HTTP://a.com", "//B.com/x"],), (["/only", "mailto:x"],), ([],), (None,)], "xs array<string>"
