@@ -23,7 +23,7 @@ PATTERNS = {
     "PERCENT": r"[0-9]+(?:\.[0-9]+)?\s?%",
     "DATE": f"{_DAY_FIRST}|{_MONTH_FIRST}",
     "TIME": r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?",
-    "ORG": r"[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63}){0,30}\.(?:com|org|net)",
+    "ORG": r"[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]+){0,30}\.(?:com|org|net)",
     "CARDINAL": r"[0-9]+(?:[.,][0-9]+)*",
 }
 ANY_PATTERN = "|".join(PATTERNS.values())
