@@ -88,6 +88,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(links.select("a", "b"))
 
 
+def cross_component_pairs(residual: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``residual`` (rep, n, component) in different components that can reach the similarity: none is missed.
+
+    Sets of n shingles that are alike share one of their n - ceil(t n) + 1 rarest. What sets a copy apart is rare, so a copy with many
+    changes of its own meets no other, however large its group; shingles of one component only are no key at all.
+    """
+    shingles = sets.join(residual.withColumnRenamed("rep", "doc_id"), "doc_id").select(
+        F.col("doc_id").alias("rep"), "n", "component", F.explode("shingles").alias("shingle")
+    )
+    spread = shingles.groupBy("shingle").agg(F.count("*").alias("f"), (F.min("component") < F.max("component")).alias("mixed"))
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("f", "shingle", "mixed"))), 1, F.expr(f"int(n - (n * {percent} + 99) div 100 + 1)"))
+    keys = (
+        shingles.join(spread, "shingle").groupBy("rep", "n", "component").agg(rarest.alias("rarest"))
+        .select("rep", "n", "component", F.explode("rarest").alias("r")).where("r.mixed").select("rep", "n", "component", "r.shingle")
+    )
+    other = keys.select("shingle", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+    met = keys.join(other, "shingle").where(
+        (F.col("rep") < F.col("b")) & (F.col("component") != F.col("b_component")) & alike(F.col("n"), F.col("b_n"), percent)
+    )
+    return cut_lineage(met.select(F.col("rep").alias("a"), "b").distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs`` (needs ``doc_id`` and ``text``; other columns are ignored).
 
@@ -95,9 +117,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     its smallest doc_id, and only that document is kept.
 
     Copies with equal sets are one class, represented by its smallest doc_id, so a text that a third of all rows repeat is one
-    candidate. In each bucket every class is paired with the smallest one only, a star, and the pairs are confirmed on full sets.
-    What a star can miss, a link between two members that both differ from the centre, is searched next: pairs of one bucket that
-    are still in different components. Both rounds confirm on full sets, recomputed from the texts of candidates only.
+    candidate. In each bucket every class is paired with two others only, the smallest and the most central one: stars. What stars
+    can miss, a link between two members that both differ from the centre, is searched next among members of buckets that still
+    hold several components. Both rounds confirm on full sets, recomputed from the texts of candidates only.
 
     Null, empty and blank texts have no shingles (n_shingles 0) and are linked with nothing. Repeated rows are each returned. A
     doc_id with several texts is one vertex, linked by any of them. A null doc_id gives component null and kept true. An empty
@@ -114,10 +136,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .select("rep", "n", F.xxhash64("band", "key").alias("bucket"))
     )
     hubs = bands.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = cut_lineage(bands.join(hubs, "bucket").select("bucket", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
+    members = cut_lineage(bands.join(hubs, "bucket").select("bucket", "rep", "n", "members", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
+    # The second centre of a bucket is the member that meets most others in all its buckets: in a group of edited copies, the text
+    # nearest to what they were copied from.
+    density = members.groupBy("rep").agg(F.sum("members").alias("density"))
+    dense = members.join(density, "rep").groupBy("bucket").agg(F.max(F.struct("density", (-F.col("rep")).alias("rep"), "n")).alias("hub"))
+    stars = members.select("rep", "n", "hub", "hub_n").union(
+        members.join(dense.select("bucket", (-F.col("hub.rep")).alias("dense"), F.col("hub.n").alias("dense_n")), "bucket").select("rep", "n", "dense", "dense_n")
+    )
     stars = cut_lineage(
-        members.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"), percent))
-        .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        stars.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"), percent))
+        .select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     )
     ids = cut_lineage(members.select(F.col("rep").alias("doc_id")).distinct())
     sets = cut_lineage(docs.join(few_ids(ids), "doc_id", "left_semi").mapInArrow(shingle_sets, SETS))
@@ -125,14 +154,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = cut_lineage(connected_components(links))
 
     placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = cut_lineage(placed.select("bucket", "rep", "n", "hub", "component"))
-    parted = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = placed.where("rep <> hub").join(parted, "bucket", "left_semi")
-    right = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-    rest = left.join(right, "bucket").where(
-        (F.col("rep") < F.col("b")) & (F.col("component") != F.col("b_component")) & alike(F.col("n"), F.col("b_n"), percent)
-    )
-    rest = cut_lineage(rest.select(F.col("rep").alias("a"), "b").distinct())
+    placed = cut_lineage(placed.select("bucket", "rep", "n", "component"))
+    parted = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    residual = cut_lineage(placed.join(parted, "bucket", "left_semi").select("rep", "n", "component").distinct())
+    rest = cross_component_pairs(residual, sets, percent)
     if not rest.isEmpty():
         labels = cut_lineage(connected_components(links.union(verified(rest, sets, percent))))
 
