@@ -91,7 +91,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def cross_component_pairs(residual: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``residual`` (rep, n, component) in different components that can reach the similarity: none is missed.
 
-    Sets of n shingles that are alike share one of their n - ceil(t n) + 1 rarest. What sets a copy apart is rare, so a copy with many
+    Sets of n shingles that are alike share one of their n - ceil(t n) + 1 rarest, and the first one they share leaves enough
+    shingles behind it in either order to reach the overlap. What sets a copy apart is rare and comes first, so a copy with many
     changes of its own meets no other, however large its group; shingles of one component only are no key at all.
     """
     shingles = sets.join(residual.withColumnRenamed("rep", "doc_id"), "doc_id").select(
@@ -101,11 +102,13 @@ def cross_component_pairs(residual: DataFrame, sets: DataFrame, percent: int) ->
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("f", "shingle", "mixed"))), 1, F.expr(f"int(n - (n * {percent} + 99) div 100 + 1)"))
     keys = (
         shingles.join(spread, "shingle").groupBy("rep", "n", "component").agg(rarest.alias("rarest"))
-        .select("rep", "n", "component", F.explode("rarest").alias("r")).where("r.mixed").select("rep", "n", "component", "r.shingle")
+        .select("rep", "n", "component", F.posexplode("rarest").alias("at", "r")).where("r.mixed")
+        .select("rep", "component", "n", (F.col("n") - F.col("at")).alias("left"), "r.shingle")
     )
-    other = keys.select("shingle", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+    other = keys.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("component", "n", "left")], F.col("rep").alias("b"))
+    overlap = (100 + percent) * F.least("left", "b_left") >= percent * (F.col("n") + F.col("b_n"))
     met = keys.join(other, "shingle").where(
-        (F.col("rep") < F.col("b")) & (F.col("component") != F.col("b_component")) & alike(F.col("n"), F.col("b_n"), percent)
+        (F.col("rep") < F.col("b")) & (F.col("component") != F.col("b_component")) & alike(F.col("n"), F.col("b_n"), percent) & overlap
     )
     return cut_lineage(met.select(F.col("rep").alias("a"), "b").distinct())
 
