@@ -30,6 +30,9 @@ SMOOTH = 1e-3
 #: Words, and runs of anything else that is not white space: what junk is made of stays visible.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 PROFILE = 10
+#: Tokens whose contexts are summed at a time.
+CHUNK = 1 << 17
+UPPER = bytes(range(0x41, 0x5B))
 
 
 class TokenRows(dict):
@@ -50,7 +53,7 @@ class TokenRows(dict):
 def index_vectors() -> np.ndarray:
     """The random index of each row: entries -1, 0 and 1, a quarter of them not 0, equal on every machine."""
     draw = mix(np.arange(BUCKETS * DIMS, dtype=np.uint64) + np.uint64(0xA5A5A5A5)) % np.uint64(8)
-    return np.where(draw == 0, 1, np.where(draw == 1, -1, 0)).astype(np.int32).reshape(BUCKETS, DIMS)
+    return np.where(draw == 0, 1, np.where(draw == 1, -1, 0)).astype(np.int8).reshape(BUCKETS, DIMS)
 
 
 VECTOR_ROWS = "word int, n long, " + ", ".join(f"d{k} long" for k in range(DIMS))
@@ -58,27 +61,23 @@ VECTOR_ROWS = "word int, n long, " + ", ".join(f"d{k} long" for k in range(DIMS)
 
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's sums: for every row of the table how often it occurs, and the sum of the random indexes of its neighbours."""
-    rows, index = TokenRows(), index_vectors()
+    rows, index = TokenRows(), np.vstack([index_vectors(), np.zeros((1, DIMS), np.int8)])
     seen, sums = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, DIMS), np.int64)
+    gap = np.full(REACH, BUCKETS, np.int16)  # between texts; its index is zero
     for batch in slices(batches):
-        pieces = []
-        for text in batch.column("text").to_pylist():
-            pieces += [rows.of(text or ""), np.full(REACH, -1, np.int32)]
-        tokens = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
-        seen += np.bincount(tokens[tokens >= 0], minlength=BUCKETS)
-        pairs = []
-        for k in range(1, REACH + 1):
-            left, right = tokens[:-k], tokens[k:]
-            inside = (left >= 0) & (right >= 0)
-            pairs.append(left[inside].astype(np.int64) * BUCKETS + right[inside])
-        pairs, counts = np.unique(np.concatenate(pairs), return_counts=True)
-        left, right = pairs // BUCKETS, pairs % BUCKETS
-        for word, neighbour in ((left, right), (right, left)):
-            order = np.argsort(word, kind="stable")
-            word, weights = word[order], counts[order, None]
-            cut = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
-            if len(cut):
-                sums[word[cut]] += np.add.reduceat(index[neighbour[order]] * weights, cut, axis=0)
+        tokens = np.concatenate([gap, *(x for text in batch.column("text").to_pylist() for x in (rows.of(text or "").astype(np.int16), gap))])
+        for start in range(REACH, len(tokens) - REACH, CHUNK):
+            stop = min(start + CHUNK, len(tokens) - REACH)
+            words, context = tokens[start:stop], np.zeros((stop - start, DIMS), np.int8)
+            for k in range(1, REACH + 1):
+                context += index[tokens[start - k : stop - k]]
+                context += index[tokens[start + k : stop + k]]
+            order = np.argsort(words, kind="stable")
+            words = words[order]
+            cuts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            real = words[cuts] < BUCKETS
+            sums[words[cuts][real]] += np.add.reduceat(context[order].astype(np.int32), cuts, axis=0)[real]
+            seen[words[cuts][real]] += np.diff(np.append(cuts, len(words)))[real]
     used = np.flatnonzero(seen)
     columns = [pa.array(used, pa.int32()), pa.array(seen[used], pa.int64()), *(pa.array(sums[used, k], pa.int64()) for k in range(DIMS))]
     yield pa.RecordBatch.from_arrays(columns, ["word", "n", *(f"d{k}" for k in range(DIMS))])
@@ -105,19 +104,19 @@ def pool(rows: np.ndarray, text: str, table: WordVectors) -> np.ndarray:
     """Weighted mean and spread of the token vectors, plain mean, and how the tokens follow and repeat one another."""
     if not len(rows):
         return np.zeros(3 * DIMS + PROFILE, np.float32)
-    vectors, weights = table.vectors[rows], table.weights[rows][:, None]
-    mean = (vectors * weights).sum(0) / weights.sum()
-    spread = np.sqrt(np.maximum((weights * (vectors - mean) ** 2).sum(0) / weights.sum(), 0))
-    following = (vectors[1:] * vectors[:-1]).sum(1) if len(rows) > 1 else np.zeros(1, np.float32)
-    pairs = rows[1:].astype(np.int64) * BUCKETS + rows[:-1]
-    n, characters = len(rows), max(len(text), 1)
-    counts = np.bincount(rows)
+    n, vectors, weights = len(rows), table.vectors[rows], table.weights[rows]
+    weights /= weights.sum()
+    mean, plain = np.stack([weights, np.full(n, 1 / n, np.float32)]) @ vectors
+    spread = np.sqrt(np.maximum(weights @ (vectors * vectors) - mean**2, 0))
+    following = np.einsum("ij,ij->i", vectors[1:], vectors[:-1]) if n > 1 else np.zeros(1, np.float32)
+    pairs = np.sort(rows[1:] * np.int32(BUCKETS) + rows[:-1])
+    counts, letters = np.bincount(rows), text.encode()
     profile = [
-        np.log1p(n) / 10, len(np.unique(rows)) / n, counts.max() / n, following.mean(), following.std(),
-        len(np.unique(pairs)) / max(n - 1, 1), float((rows[1:] == rows[:-1]).mean()) if n > 1 else 0.0,
-        float(np.linalg.norm(mean)), n / characters * 4, sum(map(str.isupper, text[:: max(1, characters // 2000)])) / min(characters, 2000),
+        np.log1p(n) / 10, np.count_nonzero(counts) / n, counts.max() / n, following.mean(), following.std(),
+        (np.count_nonzero(pairs[1:] != pairs[:-1]) + 1) / n, float((rows[1:] == rows[:-1]).mean()) if n > 1 else 0.0,
+        float(np.linalg.norm(mean)), n / max(len(text), 1) * 4, 1 - len(letters.translate(None, UPPER)) / max(len(letters), 1),
     ]
-    return np.concatenate([mean, spread, vectors.mean(0), np.array(profile, np.float32)]).astype(np.float32)
+    return np.concatenate([mean, spread, plain, np.array(profile, np.float32)]).astype(np.float32)
 
 
 def pooled(table: WordVectors) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
