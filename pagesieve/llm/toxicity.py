@@ -76,7 +76,7 @@ class Sparse:
 
 def sparse(texts: list[np.ndarray], vocabulary: np.ndarray) -> Sparse:
     lengths = [len(t) for t in texts]
-    tokens, rows = np.concatenate([*texts, np.empty(0, np.int32)]), np.repeat(np.arange(len(texts)), lengths)
+    tokens, rows = np.concatenate([*texts, np.empty(0, np.int32)]), np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     if not len(vocabulary):
         return Sparse(np.empty(0, np.int64), np.empty(0, np.int64), len(texts))
     at = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
@@ -87,7 +87,7 @@ def sparse(texts: list[np.ndarray], vocabulary: np.ndarray) -> Sparse:
 def telling_tokens(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Sorted tokens whose presence goes with any category: the largest chi-square statistics, over all categories."""
     vocabulary, at, counts = np.unique(np.concatenate([*texts, np.empty(0, np.int32)]), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at, rows = at.astype(np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     best, n = np.zeros(len(vocabulary)), max(len(texts), 1)
     for k in range(y.shape[1]):
         share = y[:, k].mean() if len(texts) else 0.0
