@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions.text import text_or_empty
 from pagesieve.operators.language import UNKNOWN
 from pagesieve.schemas import Options
 
@@ -64,7 +63,7 @@ def spam_histogram(passed: DataFrame, score: str = "spam_score") -> DataFrame:
 
 def enrichment_counters(enriched: DataFrame) -> DataFrame:
     """``nlp_requests`` and ``nlp_errors``: once per page that reached enrichment with text."""
-    asked = text_or_empty("visible_text") != ""
+    asked = F.col("shape") != "empty_text"  # by shape: a document's text is cleaned, a page's is not
     return enriched.agg(
         F.count(F.when(asked, 1)).alias("nlp_requests"),
         F.count(F.when(asked & (F.col("shape") == "nlp_failed"), 1)).alias("nlp_errors"),
@@ -72,7 +71,7 @@ def enrichment_counters(enriched: DataFrame) -> DataFrame:
 
 
 def sink_counters(documents: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """``documents_indexed`` and ``bulk_bytes`` per batch of a written document table."""
+    """``documents_indexed`` and ``distinct_ids`` per batch of a written document table."""
     return documents.groupBy(batch).agg(
         F.count("*").alias("documents_indexed"), F.countDistinct("_id").alias("distinct_ids")
     )

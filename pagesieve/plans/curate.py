@@ -19,7 +19,7 @@ from pagesieve.operators.document import attach_enrichment, to_documents
 from pagesieve.operators.entities import extract_entities
 from pagesieve.operators.keyphrases import extract_keyphrases
 from pagesieve.operators.language import detect_language, gate_language, is_rejected_language
-from pagesieve.operators.spam import spam_score
+from pagesieve.operators.spam import spam_score, spam_scores_by_join
 from pagesieve.schemas import PAGE_COLUMNS_READ, Options
 from pagesieve.session import cut_lineage
 
@@ -37,22 +37,30 @@ class Curated:
     enriched: DataFrame
 
 
-def page_facts(pages: DataFrame, dictionary: Mapping[str, int], options: Options = Options()) -> DataFrame:
-    """Everything a gate needs that one page alone decides, as one narrow row per page."""
-    return pages.select(
+def page_facts(pages: DataFrame, dictionary: Mapping[str, int] | DataFrame, options: Options = Options()) -> DataFrame:
+    """Everything a gate needs that one page alone decides, as one narrow row per page.
+
+    A dictionary table, of any size, is matched by a join; its scores meet the other facts on the page key.
+    """
+    by_join = isinstance(dictionary, DataFrame)
+    facts = pages.select(
         options.order_by,
         options.key,
         "url",
         normalize_url("url").alias("norm_url"),
         content_signature("visible_text").alias("sig"),
         byte_length("visible_text").alias("n_bytes"),
-        spam_score("visible_text", dictionary, options.dilution_length).alias("spam"),
+        *([] if by_join else [spam_score("visible_text", dictionary, options.dilution_length).alias("spam")]),
     )
+    if not by_join:
+        return facts
+    scores = spam_scores_by_join(pages, dictionary, options).withColumnRenamed("spam_score", "spam")
+    return facts.join(scores, options.key, "left").withColumn("spam", F.coalesce("spam", F.lit(0)))
 
 
 def decide(
     pages: DataFrame,
-    dictionary: Mapping[str, int],
+    dictionary: Mapping[str, int] | DataFrame,
     profile: DataFrame,
     seen: DataFrame | None = None,
     options: Options = Options(),
@@ -67,7 +75,8 @@ def decide(
     facts = page_facts(pages, dictionary, options)
     if materialize:
         facts = cut_lineage(facts)
-    firsts = survivors(facts.where(F.col("norm_url").isNotNull()), seen, options).select(
+    keyed = F.col(options.key).isNotNull() & F.col(options.order_by).isNotNull()
+    firsts = survivors(facts.where(F.col("norm_url").isNotNull() & keyed), seen, options).select(
         *on, F.lit(True).alias("claims")
     )
     languages = detect_language(pages, profile, on, options)
@@ -85,6 +94,7 @@ def _outcome(options: Options) -> Column:
     """The first gate a page fails."""
     return (
         F.when(F.col("norm_url").isNull(), "invalid_url")
+        .when(F.col(options.key).isNull() | F.col(options.order_by).isNull(), "unkeyed")
         .when(~F.col("claims"), "duplicate")
         .when(is_rejected_language("lang", "en_conf", options), "non_english")
         .when((F.col("n_bytes") > 0) & (F.col("spam") >= options.spam_threshold), "high_spam")
@@ -136,7 +146,7 @@ def derive_enrichment(
 
 def curate(
     pages: DataFrame,
-    dictionary: Mapping[str, int],
+    dictionary: Mapping[str, int] | DataFrame,
     profile: DataFrame,
     seen: DataFrame | None = None,
     enrichment: DataFrame | Enricher | None = None,

@@ -553,5 +553,5 @@ enrichment AS (
     found["stream_sink_counters"] = query(
         empty_store, "SELECT count(*) AS documents_indexed, count(DISTINCT _id) AS distinct_ids FROM identified"
     )
-    found["stream_first_seen"] = query([PAGES], f"SELECT DISTINCT {signature('text')} AS sig FROM recs")
+    found["stream_first_seen"] = query([PAGES], f"SELECT DISTINCT {signature('text')} AS sig FROM recs WHERE i % 50 <> 0")
     return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; only where that is unset (local tests) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="pagesieve-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -49,8 +53,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def within(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows: a distributed count, which gathers no rows in one task."""
+    return df.count() <= max_rows
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:

@@ -76,12 +76,16 @@ EXPLICIT_WEIGHTS = {
 
 
 def build_dictionary(
-    phrases: Iterable[str] = tuple(EXPLICIT_WEIGHTS),
+    phrases: Iterable[str],
     weights: Mapping[str, int] = EXPLICIT_WEIGHTS,
     default_weight: int = DEFAULT_WEIGHT,
 ) -> dict[str, int]:
     """``{lower-case phrase: weight}``, each distinct phrase once."""
-    return {phrase.lower(): weights.get(phrase, default_weight) for phrase in phrases if phrase}
+    built: dict[str, int] = {}
+    for phrase in phrases:
+        if phrase:  # of phrases that differ in case only, the largest weight counts, as in read_dictionary
+            built[phrase.lower()] = max(weights.get(phrase, default_weight), built.get(phrase.lower(), 0))
+    return built
 
 
 def dictionary_table(spark: SparkSession, dictionary: Mapping[str, int]) -> DataFrame:

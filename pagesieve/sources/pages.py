@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,7 @@ def stream_pages_json(
     order_type: T.DataType | None = None,
     max_files_per_trigger: int = 1000,
 ) -> DataFrame:
-    """A stream over a folder of JSON records that carry the key and order columns.
+    """A stream over a folder of JSON records; records without key or order get theirs when their batch is run.
 
     Nothing is refused when load is high: files wait, at most ``max_files_per_trigger`` are taken at once.
     """
@@ -72,6 +74,21 @@ def pages_from_kafka(rows: DataFrame, options: Options = Options()) -> DataFrame
     ).select(options.key, options.order_by, "page.*")
 
 
+def complete_keys(pages: DataFrame, batch_id: int, options: Options = Options()) -> DataFrame:
+    """Give every record without a key or an order one from its place in the batch; a page is never lost for want of either.
+
+    The place is only fixed once the result is written, so write it before it is read twice.
+    """
+    place = F.monotonically_increasing_id()
+    made_up = F.concat(F.lit(f"batch-{batch_id}-"), place.cast("string"))
+    key = F.coalesce(F.col(options.key), made_up) if options.key in pages.columns else made_up
+    order = place
+    if options.order_by in pages.columns:
+        kind = pages.schema[options.order_by].dataType
+        order = F.coalesce(F.col(options.order_by), place.cast(kind)) if isinstance(kind, T.NumericType) else F.col(options.order_by)
+    return pages.withColumns({options.key: key, options.order_by: order})
+
+
 def split_undecodable(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(decoded pages, undecodable records).
 
@@ -81,11 +98,14 @@ def split_undecodable(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages.where(~bad).drop(CORRUPT), pages.where(bad).select("url", CORRUPT)
 
 
-def assign_arrival(pages: DataFrame, options: Options = Options(), prefix: str = "") -> DataFrame:
+def assign_arrival(pages: DataFrame, options: Options = Options(), prefix: str | None = None) -> DataFrame:
     """Add key and order columns from the position in the input files, for records that have none.
 
-    Call it directly on a file scan: positions are stable because the same files give the same splits on every attempt.
+    Call it directly on a file scan: positions are stable because the same files give the same splits on every attempt. Keys begin
+    with ``prefix``; None makes one up, so that keys of different runs differ. The order is that of the scan, which packs files
+    by size; records that carry an arrival time should be given that as order instead.
     """
+    prefix = f"{uuid.uuid4().hex[:12]}-" if prefix is None else prefix
     position = F.monotonically_increasing_id()
     return pages.withColumn(options.order_by, position).withColumn(
         options.key, F.concat(F.lit(prefix), F.col(options.order_by).cast("string"))

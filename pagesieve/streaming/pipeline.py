@@ -6,15 +6,17 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagesieve.functions.text import content_signature
+from pagesieve.functions.urls import normalize_url
 from pagesieve.operators.metrics import enrichment_counters, run_counters, spam_histogram
 from pagesieve.plans.curate import Enricher, curate
 from pagesieve.schemas import Options
 from pagesieve.sinks.bulk import write_bulk
 from pagesieve.sinks.tables import write_batch
-from pagesieve.sources.pages import CORRUPT, split_undecodable
+from pagesieve.sources.pages import CORRUPT, complete_keys, split_undecodable
 from pagesieve.sources.signatures import append_signatures, read_signatures
 
 
@@ -27,7 +29,7 @@ class CurationJob:
     """
 
     root: str
-    dictionary: Mapping[str, int]
+    dictionary: Mapping[str, int] | DataFrame
     profile: DataFrame
     enrichment: DataFrame | Enricher | None = None
     options: Options = field(default_factory=Options)
@@ -35,6 +37,10 @@ class CurationJob:
 
     def run_batch(self, pages: DataFrame, batch_id: int) -> None:
         spark = pages.sparkSession
+        # Decoded once: every later read takes the same rows with the same keys from the batch's own folder, which a replay replaces.
+        decoded, folder = complete_keys(pages, batch_id, self.options), f"{self.root}/decoded/batch_id={batch_id}"
+        decoded.write.mode("overwrite").parquet(folder)
+        pages = spark.read.schema(decoded.schema).parquet(folder)
         if CORRUPT in pages.columns:
             pages, undecodable = split_undecodable(pages)
             write_batch(undecodable, f"{self.root}/undecodable", batch_id)
@@ -62,8 +68,13 @@ class CurationJob:
 
 
 def first_seen(pages: DataFrame) -> DataFrame:
-    """Stateful alternative on a stream: the first page of every signature, state kept without end.
+    """Stateful alternative on a stream: one page of every signature, state kept without end.
 
-    Set the RocksDB state store provider; the state grows with the number of distinct signatures.
+    Pages with an invalid URL and undecodable records claim no signature. Set the RocksDB state store provider; the state grows with
+    the number of distinct signatures. Which of several copies inside one micro-batch is taken is not defined here; the
+    micro-batch pipeline decides by order.
     """
+    if CORRUPT in pages.columns:
+        pages = pages.where(F.col(CORRUPT).isNull())
+    pages = pages.where(normalize_url("url").isNotNull())
     return pages.withColumn("sig", content_signature("visible_text")).dropDuplicates(["sig"])

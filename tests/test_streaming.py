@@ -9,7 +9,9 @@ from pagesieve.plans.curate import curate
 from pagesieve.registry.params import DICTIONARY, OPTIONS
 from pagesieve.registry.queries import document_pages, label_enrichment, language_profile
 from pagesieve.schemas import ENRICHMENT, PAGE
+from pagesieve.session import shared_folder
 from pagesieve.sinks.tables import latest_documents, rejected_table
+from pagesieve.sources.dictionary import dictionary_table
 from pagesieve.sources.enrichment import align_batches
 from pagesieve.sources.pages import (
     assign_arrival, pages_from_kafka, read_pages_json, read_pages_parquet, split_undecodable, stream_pages_json,
@@ -156,3 +158,42 @@ def test_stateful_first_seen(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r.visible_text.strip() for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_records_without_key_or_order_are_indexed_and_counted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spaces = {**RECORD, "url": "https://example.com/blank", "visible_text": "   "}
+    relative = {**RECORD, "url": "/rel", "visible_text": "claimed by nobody"}
+    records = [RECORD, {**RECORD, "url": "https://example.com/2", "visible_text": "another text"}, spaces, relative]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, records)))
+    job = CurationJob(str(tmp_path / "out"), {}, language_profile(spark, "/root/testdata/sf0.001"), spark.createDataFrame([], ENRICHMENT), OPTIONS)
+    job.start(stream_pages_json(spark, str(tmp_path / "in"), OPTIONS), every=None).awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out/documents")).collect()
+    assert {r.url for r in written} >= {"https://example.com", "https://example.com/2"} and len({r.key for r in written}) == len(written) == 3
+    rejected = spark.read.parquet(str(tmp_path / "out/rejected")).collect()
+    assert [(r.url, r.outcome) for r in rejected] == [("/rel", "invalid_url")]
+
+
+def test_a_null_key_has_its_own_outcome(spark):
+    pages = document_pages(spark, "/root/testdata/sf0.001").where("key IN (1, 2, 3)").withColumn("key", F.when(F.col("key") != "1", F.col("key")))
+    outcomes = {r.key: r.outcome for r in curate(pages, {}, language_profile(spark, "/root/testdata/sf0.001")).decisions.collect()}
+    assert outcomes[None] == "unkeyed" and "unkeyed" not in {v for k, v in outcomes.items() if k is not None}
+
+
+def test_a_dictionary_table_scores_like_literals(spark):
+    pages, profile = document_pages(spark, "/root/testdata/sf0.001"), language_profile(spark, "/root/testdata/sf0.001")
+    words = {"the": 1, "tion": 3, "of the": 2}
+    tables = [curate(pages, d, profile).decisions.select("key", "spam") for d in (words, dictionary_table(spark, words))]
+    assert tables[0].exceptAll(tables[1]).isEmpty() and tables[1].exceptAll(tables[0]).isEmpty()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_folder(Session())
