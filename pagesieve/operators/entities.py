@@ -1,6 +1,7 @@
-"""Entity extraction: one pattern pass in text order, plus names from a gazetteer table.
+"""Entity extraction: one pattern pass in text order, joined by names from a gazetteer table.
 
-A different model from a statistical tagger with the same output contract, ``array<struct<text, label>>``.
+A different model from a statistical tagger with the same output contract, ``array<struct<text, label>>``: one list in text
+order whose entities do not overlap.
 """
 
 from __future__ import annotations
@@ -13,92 +14,137 @@ from pagesieve.schemas import ENTITIES
 from pagesieve.session import broadcast_within
 
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_HOST = r"[A-Za-z0-9][A-Za-z0-9\-]*+(?:\.[A-Za-z0-9\-]++)*+"
 
-_DAY_FIRST = rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}"
-_MONTH_FIRST = rf"{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}"
-
-# One pattern per label, in order of precedence at one place of the text.
+# What the whole of an item must match to get a label, in order of precedence.
 PATTERNS = {
-    "MONEY": r"[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?",
-    "PERCENT": r"[0-9]+(?:\.[0-9]+)?\s?%",
-    "DATE": f"{_DAY_FIRST}|{_MONTH_FIRST}",
+    "MONEY": r"[$€£] ?[0-9]++(?:,[0-9]++)*+(?:\.[0-9]++)?+",
+    "PERCENT": r"[0-9]+(?:\.[0-9]+)? ?%",
+    "DATE": rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}",
     "TIME": r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?",
-    "ORG": r"[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]+){0,30}\.(?:com|org|net)",
-    "CARDINAL": r"[0-9]+(?:[.,][0-9]+)*",
+    "ORG": rf"{_HOST}(?<=\.(?:com|org|net))",
+    "CARDINAL": r"[0-9]++(?:[.,][0-9]++)*+",
 }
-ANY_PATTERN = "|".join(PATTERNS.values())
-# The same alternatives sorted by how they begin, so that most places of a text are dismissed by one character; a name
-# is only looked for where a word begins. The loop that ends the last pattern is made possessive by one more "+": it
-# never has to give back, and a long list of numbers then needs no stack.
-_SCAN = (
-    rf"(?=[$€£0-9])(?:{PATTERNS['MONEY']}|{PATTERNS['PERCENT']}|{_DAY_FIRST}|{PATTERNS['TIME']}|{PATTERNS['ORG']}"
-    rf"|{PATTERNS['CARDINAL']}+)|(?=[JFMASOND]){_MONTH_FIRST}|(?<![A-Za-z0-9]){PATTERNS['ORG']}"
+_WORD_CHARACTER = r"[\p{L}\p{N}_]"
+NAME_WORD = f"{_WORD_CHARACTER}+"
+# Items cut the text: at every place the first of these, with the rest of a word it ends in. So no entity ends inside a
+# word, and as every word is part of an item none begins there. No loop has to give back: long texts need no stack.
+_ITEM = "|".join(
+    f"(?:{pattern}){_WORD_CHARACTER}*+"
+    for pattern in (
+        PATTERNS["MONEY"], PATTERNS["PERCENT"], PATTERNS["DATE"], PATTERNS["TIME"],
+        rf"{PATTERNS['CARDINAL']}{_WORD_CHARACTER}*+(?:\.[A-Za-z][A-Za-z0-9\-]*+)*+", _HOST, _WORD_CHARACTER,
+    )
 )
-
-MAX_NAME_WORDS = 3
-NAME_WORD = r"[\p{L}\p{N}_]+"
-_BETWEEN = r"[^\p{L}\p{N}_]+"
-# At every word: the word and up to two that follow.
-_RUN = rf"(?=({NAME_WORD}(?:{_BETWEEN}{NAME_WORD}){{0,{MAX_NAME_WORDS - 1}}})){NAME_WORD}"
+# Most items are plain words and are dismissed by how they begin and end.
+_MAY_BE_LABELLED = r"^[$€£0-9]|\.(?:com|org|net)$|^[A-Z][a-z]+ [0-9]"
 _BROADCAST_NAMES = 500_000
 
 
+def _label(item: Column) -> Column:
+    label = F.lit(None).cast("string")
+    for name in reversed(PATTERNS):
+        label = F.when(item.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(label)
+    return F.when(item.rlike(_MAY_BE_LABELLED), label)
+
+
+def _items(text: Column | str) -> Column:
+    return F.regexp_extract_all(text_or_empty(text), F.lit(_ITEM), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0))
+
+
 def pattern_entities(text: Column | str) -> Column:
     """Entities found by pattern, in text order."""
+    labelled = F.transform(_items(text), lambda i: F.struct(i.alias("text"), _label(i).alias("label")))
+    return F.filter(labelled, lambda e: e["label"].isNotNull())
+
+
+def _placed_patterns(text: Column | str) -> Column:
+    """Pattern entities as ``array<struct<pos, longer, kind, n, text, label>>``: place and length in words of the text."""
+
+    def cells(item: Column) -> Column:
+        words = _words(item)
+        entity = F.struct(F.size(words).alias("n"), item.alias("text"), _label(item).alias("label"))
+        return F.transform(words, lambda _, at: F.when(at == 0, entity))
 
-    def labelled(found: Column) -> Column:
-        *others, last = PATTERNS
-        label = F.lit(last)
-        for name in reversed(others):
-            pattern = PATTERNS[name]
-            label = F.when(found.rlike(f"^(?:{pattern})$"), name).otherwise(label)
-        return F.struct(found.alias("text"), label.alias("label"))
+    placed = F.transform(F.flatten(F.transform(_items(text), cells)), lambda e, at: _candidate(at, 1, e["n"], e["text"], e["label"]))
+    return F.filter(placed, lambda e: e["label"].isNotNull())
 
-    return F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(_SCAN), F.lit(0)), labelled)
+
+def _candidate(pos: Column, kind: int, n: Column, text: Column, label: Column) -> Column:
+    """Sorts by place, then the longest first, then gazetteer names (kind 0) before patterns (kind 1)."""
+    return F.struct(
+        pos.cast("int").alias("pos"), (-n).cast("int").alias("longer"), F.lit(kind).alias("kind"), n.cast("int").alias("n"),
+        text.alias("text"), label.alias("label"),
+    )
 
 
 def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "key", text: str = "visible_text") -> DataFrame:
-    """``(key, names)``: every mention of a gazetteer name, in text order, the longest name at each place.
+    """``(key, names)``: every mention of a gazetteer name as candidates for the document's list.
 
-    ``gazetteer`` is ``(name, label)``. Every word is equi-joined to the names that begin with it, case ignored, and the
-    next words then decide.
+    ``gazetteer`` is ``(name, label)``. Names and texts are cut into words alike, case and what lies between words ignored, and
+    a name may have any number of words. For every length that names have, the runs of so many words are equi-joined to them.
     """
-    runs = docs.select(
-        key, F.posexplode(F.regexp_extract_all(text_or_empty(text), F.lit(_RUN), F.lit(1))).alias("pos", "run")
-    ).withColumn("first_word", F.lower(F.regexp_extract("run", f"^{NAME_WORD}", 0)))
     names = (
-        gazetteer.select(F.lower("name").alias("name"), "label")
-        .groupBy("name")
+        gazetteer.select(_words(F.col("name")).alias("words"), "label")
+        .where(F.size("words") > 0)
+        .groupBy(F.lower(F.array_join("words", " ")).alias("run"), F.size("words").alias("n"))
         .agg(F.min("label").alias("label"))
-        .withColumn("n", F.size(F.split("name", " ")))
-        .where(F.col("n") <= MAX_NAME_WORDS)
-        .withColumn("first_word", F.substring_index("name", " ", 1))
-    )
-    found = (
-        runs.join(broadcast_within(names, _BROADCAST_NAMES), "first_word")
-        .withColumn("run", F.regexp_replace("run", _BETWEEN, " "))
-        .where(F.startswith(F.concat(F.lower("run"), F.lit(" ")), F.concat("name", F.lit(" "))))
-        .withColumn("text", F.expr("substring_index(run, ' ', n)"))
-    )
-    return (
-        found.groupBy(key, "pos")
-        .agg(F.max(F.struct("n", "text", "label")).alias("best"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "best.text", "best.label"))).alias("names"))
-        .select(key, F.transform("names", lambda m: F.struct(m["text"].alias("text"), m["label"].alias("label"))).alias("names"))
     )
+    # one row per length of a name, not per name
+    lengths = sorted(row.n for row in names.select("n").distinct().collect()) or [1]
+
+    def runs(n: int) -> Column:
+        return F.expr(
+            f"CASE WHEN size(words) >= {n} THEN transform(sequence(0, size(words) - {n}),"
+            f" i -> struct(i AS pos, {n} AS n, array_join(slice(words, i + 1, {n}), ' ') AS text)) END"
+        )
+
+    words = docs.select(key, _words(text_or_empty(text)).alias("words"))
+    every = [words.select(key, F.explode(runs(n)).alias("m")).select(key, "m.*", F.lower("m.text").alias("run")) for n in lengths]
+    known = broadcast_within(names, _BROADCAST_NAMES)
+    found = [part.join(known, ["run", "n"]) for part in every]
+    together = found[0]
+    for part in found[1:]:
+        together = together.unionByName(part)
+    candidate = _candidate(F.col("pos"), 0, F.col("n"), F.col("text"), F.col("label"))
+    return together.groupBy(key).agg(F.collect_list(candidate).alias("names"))
+
+
+def _without_overlap(candidates: Column) -> Column:
+    """From left to right the longest candidate at each place, then on behind it."""
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(ENTITIES).alias("taken"))
+
+    def step(state: Column, c: Column) -> Column:
+        taken = F.concat(state["taken"], F.array(F.struct(c["text"].alias("text"), c["label"].alias("label"))))
+        return F.when(
+            c["pos"] >= state["end"], F.struct((c["pos"] + c["n"]).alias("end"), taken.alias("taken"))
+        ).otherwise(state)
+
+    return F.aggregate(F.array_sort(candidates), start, step, lambda state: state["taken"])
 
 
 def extract_entities(
     docs: DataFrame, gazetteer: DataFrame | None = None, key: str = "key", text: str = "visible_text"
 ) -> DataFrame:
-    """``(key, entities)`` for every document: pattern entities, then gazetteer names; blank text gives an empty array."""
-    found = docs.select(key, pattern_entities(text).alias("entities"))
+    """``(key, entities)`` for every document, in text order without overlap; blank text gives an empty array.
+
+    Of entities that overlap the one that begins first stays, of those the longest, then a gazetteer name. A name is given as
+    the words of the text with single spaces between them.
+    """
     if gazetteer is None:
-        return found
+        return docs.select(key, pattern_entities(text).alias("entities"))
+    found = docs.select(key, _placed_patterns(text).alias("patterns"))
+    only_patterns = F.transform("patterns", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label")))
     names = gazetteer_mentions(docs, gazetteer, key, text)
     return found.join(names, key, "left").select(
-        key, F.concat("entities", F.coalesce("names", F.array().cast(ENTITIES))).alias("entities")
+        key,
+        F.when(F.col("names").isNull(), only_patterns)
+        .otherwise(_without_overlap(F.concat("patterns", "names")))
+        .alias("entities"),
     )
 
 

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import byte_length, text_or_empty
 from pagesieve.schemas import Options
-from pagesieve.session import cut_lineage, within
+from pagesieve.session import cut_lineage
 
 _SMOOTHING = 0.5
-# Largest profile (in rows) that is broadcast; a larger one is joined by shuffle.
-_BROADCAST_CELLS = 4_000_000
-# Upper bound on the number of languages a model may hold (each is one column of the scoring join).
-MAX_LANGUAGES = 256
+# Largest profile (grams x languages x 8 bytes) that is broadcast; a larger one is joined by shuffle.
+_BROADCAST_BYTES = 64_000_000
 UNKNOWN = "unknown"
 ENGLISH = "en"
 
@@ -48,35 +46,42 @@ def language_scores(pages: DataFrame, profile: DataFrame, keys: list[str], text:
     """``(keys, detected, en_conf)`` for every page with at least one known trigram.
 
     Each trigram meets the profile (one row per gram, one column per language) and the map side already sums per page,
-    so the only shuffle carries one short row per page. Averages, not totals, so long pages do not saturate.
+    so the only shuffle carries one short row per page. A profile too large to be broadcast meets each page's distinct
+    trigrams with their numbers instead of all of them. Averages, not totals, so long pages do not saturate.
     """
-    unseen = {
-        row.lang: row.logp for row in profile.where("gram = ''").select("lang", "logp").limit(MAX_LANGUAGES + 1).collect()
-    }
-    if not 0 < len(unseen) <= MAX_LANGUAGES:
-        raise ValueError(f"a language profile must hold 1 to {MAX_LANGUAGES} languages")
+    # one row per language, not per gram
+    unseen = {row.lang: row.logp for row in profile.where("gram = ''").select("lang", "logp").collect()}
+    if not unseen:
+        raise ValueError("a language profile must hold a language")
     langs = sorted(unseen)
-    grams = profile.where("gram <> ''")
-    small = within(grams, _BROADCAST_CELLS)
-    by_gram = grams.groupBy("gram").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("logp"))), F.lit(unseen[lang])).alias(f"p{i}")
-            for i, lang in enumerate(langs)
-        ]
+    by_gram = (
+        profile.where("gram <> ''")
+        .groupBy("gram")
+        .agg(
+            *[
+                F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("logp"))), F.lit(unseen[lang])).alias(f"p{i}")
+                for i, lang in enumerate(langs)
+            ]
+        )
     )
+    small = profile.where("gram <> ''").select("gram").distinct().count() * len(langs) * 8 <= _BROADCAST_BYTES
     # joined on a long, which is faster to look up than a string; grams are of equal length, so the prefix test makes the
     # match exact without becoming a second join key
     by_hash = by_gram.withColumnRenamed("gram", "known_gram").withColumn("known_hash", F.xxhash64("known_gram"))
     same = (F.col("hash") == F.col("known_hash")) & F.startswith("gram", "known_gram")
+    grams = pages.select(*keys, F.explode(trigrams(text)).alias("gram"))
+    if small:
+        grams, by_hash = grams.withColumn("times", F.lit(1)), F.broadcast(by_hash)
+    else:
+        grams = grams.groupBy(*keys, "gram").agg(F.count("*").alias("times"))
     sums = (
-        pages.select(*keys, F.explode(trigrams(text)).alias("gram"))
-        .withColumn("hash", F.xxhash64("gram"))
-        .join(F.broadcast(by_hash) if small else by_hash, same, "left")
+        grams.withColumn("hash", F.xxhash64("gram"))
+        .join(by_hash, same, "left")
         .groupBy(*keys)
         .agg(
-            F.count("*").alias("n"),
+            F.sum("times").alias("n"),
             F.count("p0").alias("known"),
-            *[F.sum(F.coalesce(f"p{i}", F.lit(unseen[lang]))).alias(f"s{i}") for i, lang in enumerate(langs)],
+            *[F.sum(F.col("times") * F.coalesce(f"p{i}", F.lit(unseen[lang]))).alias(f"s{i}") for i, lang in enumerate(langs)],
         )
         .where("known > 0")
         .select(*keys, *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in range(len(langs))])

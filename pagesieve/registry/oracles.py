@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pagesieve.functions.text import WHITE_SPACE, WHITE_SPACE_CLASS
-from pagesieve.operators.entities import ANY_PATTERN, NAME_WORD, PATTERNS
 from pagesieve.operators.keyphrases import TOKEN
 from pagesieve.operators.metrics import SPAM_BUCKETS
 from pagesieve.registry.params import CRAWLED_AT, DICTIONARY, OPTIONS, STOP_WORDS
@@ -205,33 +204,60 @@ enrichment AS (
     CASE WHEN quality = 1 THEN ['a' || quality, 'b' || quality, 'c' || quality, 'd' || quality] ELSE ['low'] END AS keyphrases
   FROM labels)"""
 
-_LABEL = " ".join(f"WHEN regexp_full_match(m, {lit(p)}) THEN '{name}'" for name, p in PATTERNS.items())
+# Entities, written for this engine: an item with the rest of its word, then labels for whole items.
+_MONTHS = "(January|February|March|April|May|June|July|August|September|October|November|December)"
+_LETTERS = "[\\p{L}\\p{N}_]"
+_LABELS = (
+    ("MONEY", "[$€£] ?[0-9]+(,[0-9]+)*(\\.[0-9]+)?"),
+    ("PERCENT", "[0-9]+(\\.[0-9]+)? ?%"),
+    ("DATE", f"[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]|[0-9][0-9]? {_MONTHS} [0-9][0-9][0-9][0-9]|{_MONTHS} [0-9][0-9]?, [0-9][0-9][0-9][0-9]"),
+    ("TIME", "[0-9][0-9]?:[0-9][0-9](:[0-9][0-9])?"),
+    ("ORG", "[A-Za-z0-9][A-Za-z0-9-]*(\\.[A-Za-z0-9-]+)*\\.(com|org|net)"),
+    ("CARDINAL", "[0-9]+([.,][0-9]+)*"),
+)
+_ITEMS = "|".join(
+    f"({p}){_LETTERS}*"
+    for p in [
+        *(p for name, p in _LABELS if name in ("MONEY", "PERCENT", "DATE", "TIME")),
+        f"[0-9]+([.,][0-9]+)*{_LETTERS}*(\\.[A-Za-z][A-Za-z0-9-]*)*", "[A-Za-z0-9][A-Za-z0-9-]*(\\.[A-Za-z0-9-]+)*", _LETTERS,
+    ]
+)
+_LABEL = " ".join(f"WHEN regexp_full_match(item, {lit(p)}) THEN '{name}'" for name, p in _LABELS)
 
 
 def entities(records: str) -> str:
-    runs = "\n  UNION ALL\n  ".join(
-        f"SELECT key, pos, {n} AS n, {' || chr(32) || '.join(['word'] + [f'lead(word, {k}) OVER w' for k in range(1, n)])} AS name"
-        f" FROM name_words WINDOW w AS (PARTITION BY key ORDER BY pos)"
-        for n in (1, 2, 3)
-    )
+    """Candidates are linked to the next that begins behind them; the chain from the first one is the document's list."""
     return f"""
-patterns AS (
-  SELECT key, list_transform(regexp_extract_all(text, {lit(ANY_PATTERN)}), lambda m: CASE {_LABEL} END || ': ' || m) AS found
-  FROM {records}),
-gazetteer AS (
-  SELECT DISTINCT lower(regexp_extract(url, '([a-z0-9\\-]+)\\.example\\.', 1)) AS name FROM pages
-  WHERE regexp_extract(url, '([a-z0-9\\-]+)\\.example\\.', 1) <> ''),
+items AS (
+  SELECT key, unnest(its) AS item, generate_subscripts(its, 1) AS ord
+  FROM (SELECT key, regexp_extract_all(text, {lit(_ITEMS)}) AS its FROM {records})),
+placed AS (
+  SELECT key, item, len(regexp_extract_all(item, '{_LETTERS}+')) AS n,
+    sum(len(regexp_extract_all(item, '{_LETTERS}+'))) OVER (PARTITION BY key ORDER BY ord) AS upto FROM items),
 name_words AS (
-  SELECT key, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
-  FROM (SELECT key, regexp_extract_all(text, {lit(NAME_WORD)}) AS ws FROM {records})),
-runs AS (
-  {runs}),
+  SELECT key, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos, ws
+  FROM (SELECT key, regexp_extract_all(text, '{_LETTERS}+') AS ws FROM {records})),
+gazetteer AS (
+  SELECT DISTINCT regexp_extract_all(name, '{_LETTERS}+') AS ns
+  FROM (SELECT lower(regexp_extract(url, '([a-z0-9\\-]+)\\.example\\.', 1)) AS name FROM pages) WHERE name <> ''),
 mentions AS (
-  SELECT key, list('ORG: ' || name ORDER BY pos) AS names
-  FROM (SELECT key, pos, arg_max(runs.name, n) AS name FROM runs JOIN gazetteer g ON lower(runs.name) = g.name
-        GROUP BY key, pos) GROUP BY key),
-entities AS (
-  SELECT p.key, list_concat(found, coalesce(names, [])) AS entities FROM patterns p LEFT JOIN mentions m ON p.key = m.key)"""
+  SELECT key, pos, len(ns) AS n, 'ORG: ' || array_to_string(ws[pos + 1 : pos + len(ns)], ' ') AS entity
+  FROM name_words JOIN gazetteer ON lower(word) = ns[1] WHERE lower(array_to_string(ws[pos + 1 : pos + len(ns)], ' ')) = array_to_string(ns, ' ')),
+choices AS (
+  SELECT key, pos, n, 0 AS kind, entity FROM mentions
+  UNION ALL
+  SELECT key, (upto - n)::BIGINT, n, 1, label || ': ' || item
+  FROM (SELECT *, CASE {_LABEL} END AS label FROM placed) WHERE label IS NOT NULL),
+heads AS (
+  SELECT key, pos, n, entity, row_number() OVER (PARTITION BY key ORDER BY pos) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY key, pos ORDER BY n DESC, kind) AS r FROM choices) WHERE r = 1),
+head_links AS (SELECT a.*, b.pos AS next FROM heads a ASOF LEFT JOIN heads b ON a.key = b.key AND a.pos + a.n <= b.pos),
+chain AS (
+  SELECT key, pos, entity, next FROM head_links WHERE rank = 1
+  UNION ALL
+  SELECT l.key, l.pos, l.entity, l.next FROM chain c JOIN head_links l ON l.key = c.key AND l.pos = c.next),
+listed AS (SELECT key, list(entity ORDER BY pos) AS found FROM chain GROUP BY key),
+entities AS (SELECT r.key, coalesce(found, []) AS entities FROM {records} r LEFT JOIN listed USING (key))"""
 
 
 def relevance(records: str) -> str:
@@ -441,6 +467,7 @@ def all_oracles() -> dict[str, str]:
         "entities": query(
             [PAGES, entities("recs")],
             "SELECT key, CASE WHEN len(entities) > 0 THEN array_to_string(entities, ' | ') END AS entities FROM entities",
+            recursive=True,
         ),
         "keyphrase_relevance": query(
             [PAGES, relevance("recs")],
@@ -466,12 +493,12 @@ def all_oracles() -> dict[str, str]:
         "batch_results": query(
             [
                 PAGES, LABEL_ENRICHMENT,
-                """whole AS (SELECT i // 10 AS batch FROM recs LEFT JOIN enrichment e ON recs.key = e.key
+                """whole AS (SELECT i // 2 AS batch FROM recs LEFT JOIN enrichment e ON recs.key = e.key
                   GROUP BY batch HAVING count(e.key) = count(*))""",
             ],
             """SELECT e.key, CASE WHEN len(entities) > 0 THEN array_to_string(entities, ' | ') END AS entities,
               array_to_string(keyphrases, ' | ') AS keyphrases
-            FROM enrichment e WHERE CAST(e.key AS BIGINT) // 10 IN (SELECT batch FROM whole)""",
+            FROM enrichment e WHERE CAST(e.key AS BIGINT) // 2 IN (SELECT batch FROM whole)""",
         ),
         "enrichment_counters": query(
             [PAGES, LABEL_ENRICHMENT],

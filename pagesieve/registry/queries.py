@@ -262,8 +262,8 @@ def q_enrichment_join(spark, sf_dir):
 
 
 def q_batch_results(spark, sf_dir):
-    """Results answered in batches of ten documents; a batch with an unlabelled document has too few and fails whole."""
-    batch = F.floor(F.col("key").cast("long") / 10).alias("batch")
+    """Results answered in batches of two documents; a batch with an unlabelled document has too few and fails whole."""
+    batch = F.floor(F.col("key").cast("long") / 2).alias("batch")
     in_order = F.array_sort(F.collect_list(F.struct(F.col("key").cast("long").alias("i"), "row"))).alias("rows")
 
     def batched(df: DataFrame, row: Column, name: str) -> DataFrame:

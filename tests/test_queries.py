@@ -4,12 +4,15 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from pagesieve.registry.oracles import all_oracles
+from pagesieve.registry.queries import all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="session")
