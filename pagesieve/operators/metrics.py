@@ -75,3 +75,13 @@ def sink_counters(documents: DataFrame, batch: str = "batch_id") -> DataFrame:
     return documents.groupBy(batch).agg(
         F.count("*").alias("documents_indexed"), F.countDistinct("_id").alias("distinct_ids")
     )
+
+
+def bulk_counters(lines: DataFrame) -> DataFrame:
+    """``documents``, ``bulk_bytes`` (uncompressed) and ``bulk_files`` of written bulk files, read back as ``value`` lines."""
+    sized = lines.select(F.octet_length("value").alias("n"), F.input_file_name().alias("file"))
+    return sized.agg(
+        F.call_function("div", F.count("*"), F.lit(2)).alias("documents"),
+        F.coalesce(F.sum(F.col("n") + 1), F.lit(0)).cast("long").alias("bulk_bytes"),
+        F.countDistinct("file").alias("bulk_files"),
+    )

@@ -578,7 +578,9 @@ enrichment AS (
         [*empty_store, LATEST], "SELECT _id, key, url, title, quality_score, spam_score FROM latest"
     )
     found["stream_sink_counters"] = query(
-        empty_store, "SELECT count(*) AS documents_indexed, count(DISTINCT _id) AS distinct_ids FROM identified"
+        empty_store,
+        """SELECT count(*) AS documents_indexed, count(DISTINCT _id) AS distinct_ids FROM identified
+        GROUP BY least(CAST(key AS BIGINT) * 3 // ((SELECT max(i) FROM recs) + 1), 2)""",
     )
     found["stream_first_seen"] = query([PAGES], f"SELECT DISTINCT {signature('text')} AS sig FROM recs WHERE i % 50 <> 0")
     return found

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagesieve.functions.text import content_signature
 from pagesieve.functions.urls import normalize_url
-from pagesieve.operators.metrics import enrichment_counters, run_counters, spam_histogram
+from pagesieve.operators.metrics import bulk_counters, enrichment_counters, run_counters, spam_histogram
 from pagesieve.plans.curate import Enricher, curate
 from pagesieve.schemas import Options
 from pagesieve.sinks.bulk import write_bulk
@@ -50,7 +50,9 @@ class CurationJob:
         write_batch(run.rejected, f"{self.root}/rejected", batch_id)
         write_batch(run.documents, f"{self.root}/documents", batch_id)
         written = spark.read.parquet(f"{self.root}/documents/batch_id={batch_id}")
-        write_bulk(written, f"{self.root}/bulk/batch_id={batch_id}", self.options, self.documents_per_file)
+        bulk = f"{self.root}/bulk/batch_id={batch_id}"
+        write_bulk(written, bulk, self.options, self.documents_per_file)
+        write_batch(bulk_counters(spark.read.text(bulk)), f"{self.root}/metrics/sink", batch_id)
         write_batch(run_counters(run.decisions, self.options), f"{self.root}/metrics/outcomes", batch_id)
         write_batch(enrichment_counters(written), f"{self.root}/metrics/enrichment", batch_id)
         passed = run.decisions.where("outcome = 'indexed'")

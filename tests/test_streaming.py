@@ -130,6 +130,10 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path, job_par
     assert asked == batch.documents.where("visible_text <> ''").count()
     scored = spark.read.parquet(f"{job.root}/metrics/spam_scores").where("bound = double('infinity')")
     assert scored.agg(F.sum("pages")).first()[0] == outcomes.count("indexed")
+    sink = spark.read.parquet(f"{job.root}/metrics/sink").agg(F.sum("bulk_bytes"), F.min("bulk_files"), F.sum("documents")).first()
+    files = list((tmp_path / "out" / "bulk").glob("batch_id=*/part-*"))
+    lines = sum(len(f.read_text().splitlines()) for f in files)
+    assert (sink[0], sink[2]) == (sum(f.stat().st_size for f in files), lines // 2) and sink[1] >= 1
 
     streamed = view()
     assert signature_batches(spark, job) == {0, 1, 2}
