@@ -7,7 +7,7 @@ vocabulary and not on all n-grams.
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,9 @@ from pagesieve.session import cut_lineage
 
 MAX_WORDS = 3
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-# At most this many words are broadcast: those frequent enough to skew a shuffle on the word.
-_BROADCAST_WORDS = 1_000_000
+# At most this many words, each of at most so many bytes, are broadcast: the most frequent, which are nearly all tokens.
+_BROADCAST_WORDS = 500_000
+_BROADCAST_WORD_BYTES = 64
 
 
 def _words(text: Column | str) -> Column:
@@ -46,36 +47,41 @@ def train_word_frequencies(docs: DataFrame, text: str = "visible_text", stop_wor
     return _without(docs.select(F.explode(words).alias("word")), stop_words).groupBy("word").agg(F.count("*").alias("df"))
 
 
-def weighted_tokens(docs: DataFrame, frequencies: DataFrame, key: str, text: str, stop_words: list[str]) -> DataFrame:
-    """``(key, pos, word, idf)`` for every kept token.
+def _frequent(frequencies: DataFrame) -> Column:
+    """Which words are broadcast: those from the lowest power of two of df that leaves no more than ``_BROADCAST_WORDS``."""
+    short = F.octet_length("word") <= _BROADCAST_WORD_BYTES
+    by_power = (
+        frequencies.where((F.col("word") != "") & short)
+        .groupBy(F.floor(F.log2("df")).alias("power"))
+        .agg(F.count("*").alias("words"))
+        .collect()  # at most 64 rows
+    )
+    total, lowest = 0, 64
+    for power, words in sorted(by_power, reverse=True):
+        if total + words > _BROADCAST_WORDS:
+            break
+        total, lowest = total + words, power
+    return (F.col("word") != "") & short & (F.floor(F.log2("df")) >= lowest)
+
+
+def _rare_words(
+    docs: DataFrame, frequent: DataFrame, rare: DataFrame, key: str, text: str, stop_words: list[str]
+) -> DataFrame:
+    """``(key, rare)``: the frequencies of the words of each document that are not broadcast, as an array of (word, df).
 
-    The words frequent enough to skew a join on the word are broadcast; by the threshold chosen there are at most
-    ``_BROADCAST_WORDS`` of them, and they are nearly all tokens. Only the rare rest is shuffled to its frequency.
+    Only distinct (document, word) pairs without the frequent words are shuffled; a rare word is in few documents, so no key is hot.
     """
-    sized = frequencies.agg(
-        F.max(F.when(F.col("word") == "", F.col("df"))).alias("docs"),
-        F.sum(F.when(F.col("word") != "", F.col("df"))).alias("pairs"),
-    ).first()
-    n_docs = sized.docs or 0
-    idf = F.ln(F.lit(1 + n_docs) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    tokens = _without(docs.select(key, F.posexplode(_words(text)).alias("pos", "word")), stop_words)
-    # words with df >= d number at most pairs / d
-    hot_from = ceil((sized.pairs or 0) / _BROADCAST_WORDS)
-    hot = F.broadcast(frequencies.where((F.col("word") != "") & (F.col("df") >= hot_from)))
-    if hot_from <= 1:
-        return tokens.join(hot, "word", "left").select(key, "pos", "word", idf.alias("idf"))
-    frequent = tokens.join(hot, "word")
-    rare = tokens.join(hot.select("word"), "word", "left_anti").join(
-        frequencies.where((F.col("word") != "") & (F.col("df") < hot_from)), "word", "left"
-    )
-    return frequent.unionByName(rare).select(key, "pos", "word", idf.alias("idf"))
+    pairs = _without(docs.select(key, F.explode(F.array_distinct(_words(text))).alias("word")), stop_words)
+    pairs = pairs.join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    return pairs.join(rare, "word").groupBy(key).agg(F.collect_list(F.struct("word", "df")).alias("rare"))
+
 
+def _rank_page(codes: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, top_n: int, diversity: float) -> list[str]:
+    """The top phrases of one page from its words in order; equal scores go to the more relevant, then smaller phrase.
 
-def _rank_page(words: np.ndarray, idf: np.ndarray, top_n: int, diversity: float) -> list[str]:
-    """The top phrases of one page from its words in order; equal scores go to the more relevant, then smaller phrase."""
-    codes, vocabulary = pd.factorize(words, sort=True)
-    root = np.zeros(len(vocabulary) + 1)  # the last entry, reached by code -1, is the weight of an absent word
-    root[codes] = idf
+    ``codes`` are places in ``vocabulary``, which is sorted; ``idf`` weighs the vocabulary.
+    """
+    root = np.append(idf, 0.0)  # the last entry, reached by code -1, is the weight of an absent word
     tf = np.append(np.bincount(codes), 0)
     square, dot = root * root, root * root * tf
     page_norm = np.sqrt((dot * tf).sum())
@@ -130,24 +136,39 @@ def extract_keyphrases(
 ) -> DataFrame:
     """``(key, keyphrases)`` for every document, most relevant first; blank text gives an empty array.
 
-    ``frequencies`` is a saved word-frequency table of the corpus; without one it is counted from ``docs`` and kept,
-    because both the threshold and the join read it.
+    ``frequencies`` is a saved word-frequency table of the corpus; without one it is counted from ``docs`` and kept. Words it does
+    not hold count as unseen. Texts stay where they lie when the frequent words are all there are; else each meets one short
+    array of its rare words on the key.
     """
     key, top_n, diversity = options.key, options.top_keyphrases, options.diversity
     stop_words = default_stop_words() if stop_words is None else stop_words
     if frequencies is None:
         frequencies = cut_lineage(train_word_frequencies(docs, text, stop_words))
+    is_frequent = _frequent(frequencies)
+    frequent = frequencies.where(is_frequent)
+    counted = frequencies.where(F.col("word") == "").agg(F.sum("df").alias("docs")).first()
+    n_docs = counted.docs or 0
+    table = frequent.select("word", "df").toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["df"].to_pylist())))
+    stops = frozenset(stop_words)
 
     @F.pandas_udf("array<string>")
-    def rank(words: pd.Series, idf: pd.Series) -> pd.Series:
-        return pd.Series([_rank_page(w, v, top_n, diversity) for w, v in zip(words, idf)], dtype=object)
-
-    tokens = weighted_tokens(docs, frequencies, key, text, stop_words)
-    ranked = (
-        tokens.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "word", "idf"))).alias("t"))
-        .select(key, rank(F.col("t.word"), F.col("t.idf")).alias("keyphrases"))
-    )
-    return docs.select(key).join(ranked, key, "left").select(
-        key, F.coalesce("keyphrases", F.array().cast("array<string>")).alias("keyphrases")
-    )
+    def rank(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        frequency = known.value
+        for pages, rares in batches:
+            ranked = []
+            for page, rare in zip(pages, rares):
+                codes, vocabulary = pd.factorize(np.array([w for w in page if w not in stops], dtype=object), sort=True)
+                own = {} if rare is None else {r["word"]: r["df"] for r in rare}
+                df = np.array([frequency.get(w) or own.get(w, 0) for w in vocabulary], dtype=float)
+                idf = np.log((1 + n_docs) / (1 + df)) + 1
+                ranked.append(_rank_page(codes, vocabulary, idf, top_n, diversity) if len(codes) else [])
+            yield pd.Series(ranked, dtype=object)
+
+    rare = frequencies.where(~is_frequent & (F.col("word") != ""))
+    if rare.isEmpty():
+        texts = docs.withColumn("_rare", F.lit(None).cast("array<struct<word: string, df: bigint>>"))
+    else:
+        found = _rare_words(docs, frequent, rare, key, text, stop_words).withColumnRenamed("rare", "_rare")
+        texts = docs.select(key, text).join(found, key, "left")
+    return texts.select(key, rank(_words(text), F.col("_rare")).alias("keyphrases"))

@@ -157,8 +157,8 @@ def curate(
     """Run every gate and build the documents.
 
     ``enrichment`` is a finished table, a function from accepted pages to one, or None to derive it here. With
-    ``materialize`` the decisions, and the accepted pages when enrichment is derived from them, are written once for all
-    outputs, instead of each output reading and hashing the pages again.
+    ``materialize`` the decisions, and the accepted pages with their enrichment when it is derived from them, are written once for
+    all outputs, instead of each output reading and hashing the pages again.
     """
     keep = cut_lineage if materialize else (lambda df: df)
     decisions = keep(decide(pages, dictionary, profile, seen, options, materialize))
@@ -169,7 +169,7 @@ def curate(
         enriched = with_page_columns(pages, narrow, options)
     else:
         accepted = keep(with_page_columns(pages, passed, options))
-        enrichment = enrichment(accepted) if enrichment else derive_enrichment(accepted, options)
+        enrichment = keep(enrichment(accepted) if enrichment else derive_enrichment(accepted, options))
         enriched = attach_enrichment(accepted, enrichment, options)
     return Curated(
         documents=to_documents(enriched, options, crawled_at),

@@ -206,3 +206,23 @@ def test_saved_frequencies(spark):
 def test_default_stop_words(spark):
     docs = spark.createDataFrame([("a", "the and of")], "key string, visible_text string")
     assert list(extract_keyphrases(docs).first().keyphrases) == []
+
+
+def test_keyphrases_with_rare_words_beside_the_broadcast(spark, monkeypatch):
+    from pagesieve.operators import keyphrases
+
+    texts = ["red green blue red", "green blue violet", "blue amber", "amber " + "q" * 100 + " red", "", None]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, visible_text string")
+    whole = {r.key: list(r.keyphrases) for r in extract_keyphrases(docs, stop_words=["blue"]).collect()}
+    assert len(whole) == 6 and whole["4"] == whole["5"] == []
+    for limit in (0, 2):
+        monkeypatch.setattr(keyphrases, "_BROADCAST_WORDS", limit)
+        assert {r.key: list(r.keyphrases) for r in extract_keyphrases(docs, stop_words=["blue"]).collect()} == whole
+
+
+def test_keyphrases_shuffle_no_texts(spark):
+    from pagesieve.operators.keyphrases import train_word_frequencies
+
+    docs = spark.createDataFrame([("a", "red green blue")], "key string, visible_text string")
+    found = extract_keyphrases(docs, stop_words=[], frequencies=train_word_frequencies(docs, stop_words=[]))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -88,3 +88,21 @@ def test_long_text(spark):
     words = build_dictionary(["aab", "ab", "abc"])
     df = texts_df(spark, ["a" * 500_000 + "b", "ab" * 300_000])
     assert [r.s for r in df.select(spam_raw("visible_text", words).alias("s")).collect()] == [2, 1]
+
+
+def test_join_looks_phrases_up_by_length_class(spark, monkeypatch):
+    from pagesieve.operators import spam
+
+    rnd = random.Random(5)
+    base = "".join(rnd.choice("abc d") for _ in range(300))
+    words = {base[i : i + n].lower(): 1 for n in (1, 2, 5, 7, 8, 9, 13, 40) for i in range(0, 200, 37)}
+    words |= {base[3:11] + "zz": 1, base[9:21] + "no": 1}  # begin right, go on wrong
+    texts = [base, base[50:120].upper(), base[:12], "", None]
+    df = texts_df(spark, texts)
+    expected = {(str(i), p) for i, t in enumerate(texts) for p in words if p in (t or "").lower()}
+    for limit in (spam._BROADCAST_BYTES, 0):  # broadcast, and salted
+        monkeypatch.setattr(spam, "_BROADCAST_BYTES", limit)
+        found = dictionary_matches(df, dictionary_table(spark, words)).collect()
+        assert len(found) == len(expected) and {(r.key, r.phrase) for r in found} == expected
+    nobody = spark.createDataFrame([(None, "a b")], "key string, visible_text string")
+    assert dictionary_matches(nobody, dictionary_table(spark, words)).count() == 0
