@@ -352,14 +352,20 @@ def q_curate_derived(spark, sf_dir):
     )
 
 
-def _streamed(spark, sf_dir) -> str:
-    """Run the documents through the stream as JSON files, in three micro-batches, and give the output folder."""
+def _arriving(spark, sf_dir) -> tuple[str, int]:
+    """The documents as JSON files that arrive in three parts: a new folder, and the number of files of a part."""
     root = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
     pages, files = document_pages(spark, sf_dir), spark.sparkContext.defaultParallelism
     last = pages.agg(F.max("ingest_order")).first()[0] or 0
     third = F.least(F.floor(F.col("ingest_order") * 3 / (last + 1)), F.lit(2))
     for i in range(3):  # a copy may arrive batches after the first of its kind
         pages.where(third == i).repartition(files).write.mode("append").json(f"{root}/in")
+    return root, files
+
+
+def _streamed(spark, sf_dir) -> str:
+    """Run the documents through the stream in three micro-batches, and give the output folder."""
+    root, files = _arriving(spark, sf_dir)
     job = CurationJob(f"{root}/out", DICTIONARY, language_profile(spark, sf_dir), label_enrichment(spark, sf_dir), OPTIONS)
     query = job.start(stream_pages_json(spark, f"{root}/in", OPTIONS, max_files_per_trigger=files), every=None)
     query.awaitTermination()
@@ -377,11 +383,10 @@ def q_stream_sink_counters(spark, sf_dir):
 
 
 def q_stream_first_seen(spark, sf_dir):
-    """The stateful stream: one row per signature, whichever page brought it first."""
-    root = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
-    document_pages(spark, sf_dir).write.json(f"{root}/in")
+    """The stateful stream in three micro-batches: one row per signature, whichever page brought it first."""
+    root, files = _arriving(spark, sf_dir)
     query = (
-        first_seen(stream_pages_json(spark, f"{root}/in", OPTIONS))
+        first_seen(stream_pages_json(spark, f"{root}/in", OPTIONS, max_files_per_trigger=files))
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)

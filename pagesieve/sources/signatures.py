@@ -28,16 +28,26 @@ def append_signatures(new: DataFrame, path: str, batch_id: int) -> None:
     new.select("sig", "key").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def read_signature_table(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """The store kept in a catalog table, restricted like ``read_signatures``; a table not yet made is empty."""
+    if not spark.catalog.tableExists(table):
+        return spark.createDataFrame([], SIGNATURES)
+    stored = spark.table(table)
+    return stored if before is None else stored.where(F.col("batch_id") < before)
+
+
 def append_signature_table(new: DataFrame, table: str, batch_id: int, buckets: int) -> None:
-    """The same in a catalog table bucketed by signature: later runs join it without shuffling the store."""
-    (
-        new.select("sig", "key", F.lit(batch_id).cast("long").alias("batch_id"))
-        .repartition(buckets, "sig")
-        .write.bucketBy(buckets, "sig")
-        .sortBy("sig")
-        .mode("append")
-        .saveAsTable(table)
+    """The same in a catalog table with a partition per batch, bucketed by signature: later runs join it without shuffling the store.
+
+    Writing a batch again replaces its partition. Make ``buckets`` no fewer than ``spark.sql.shuffle.partitions``, or Spark may choose
+    to shuffle the store instead; the number is fixed when the table is first written.
+    """
+    spark, rows = new.sparkSession, new.select("sig", "key").repartition(buckets, "sig")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} (sig STRING, key STRING, batch_id BIGINT) USING parquet "
+        f"PARTITIONED BY (batch_id) CLUSTERED BY (sig) SORTED BY (sig) INTO {buckets:d} BUCKETS"
     )
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (batch_id = {batch_id:d}) SELECT sig, key FROM {{rows}}", rows=rows)
 
 
 def compact_signatures(spark: SparkSession, path: str, target: str, before: int) -> None:

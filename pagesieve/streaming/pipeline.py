@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +17,9 @@ from pagesieve.schemas import Options
 from pagesieve.sinks.bulk import write_bulk
 from pagesieve.sinks.tables import write_batch
 from pagesieve.sources.pages import CORRUPT, complete_keys, split_undecodable
-from pagesieve.sources.signatures import append_signatures, read_signatures
+from pagesieve.sources.signatures import (
+    append_signature_table, append_signatures, read_signature_table, read_signatures,
+)
 
 
 @dataclass(frozen=True)
@@ -25,7 +27,7 @@ class CurationJob:
     """A curation run whose outputs live under ``root``.
 
     A batch sees only the signatures of earlier batches and overwrites its own folders, so a replayed batch gives the
-    same answer.
+    same answer. With ``signature_table`` the signatures lie in that bucketed catalog table, which no batch shuffles.
     """
 
     root: str
@@ -34,6 +36,21 @@ class CurationJob:
     enrichment: DataFrame | Enricher | None = None
     options: Options = field(default_factory=Options)
     documents_per_file: int = 0
+    signature_table: str | None = None
+    signature_buckets: int = 200
+
+    def seen_before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The signatures of earlier batches."""
+        if self.signature_table:
+            return read_signature_table(spark, self.signature_table, before=batch_id)
+        return read_signatures(spark, f"{self.root}/signatures", before=batch_id)
+
+    def remember(self, new: DataFrame, batch_id: int) -> None:
+        """Keep the ``(sig, key)`` rows of one batch; again for a batch run again."""
+        if self.signature_table:
+            append_signature_table(new, self.signature_table, batch_id, self.signature_buckets)
+        else:
+            append_signatures(new, f"{self.root}/signatures", batch_id)
 
     def run_batch(self, pages: DataFrame, batch_id: int) -> None:
         spark = pages.sparkSession
@@ -44,9 +61,9 @@ class CurationJob:
         if CORRUPT in pages.columns:
             pages, undecodable = split_undecodable(pages)
             write_batch(undecodable, f"{self.root}/undecodable", batch_id)
-        seen = read_signatures(spark, f"{self.root}/signatures", before=batch_id)
+        seen = self.seen_before(spark, batch_id)
         run = curate(pages, self.dictionary, self.profile, seen, self.enrichment, self.options, materialize=True)
-        append_signatures(run.new_signatures.withColumnRenamed(self.options.key, "key"), f"{self.root}/signatures", batch_id)
+        self.remember(run.new_signatures.withColumnRenamed(self.options.key, "key"), batch_id)
         write_batch(run.rejected, f"{self.root}/rejected", batch_id)
         write_batch(run.documents, f"{self.root}/documents", batch_id)
         written = spark.read.parquet(f"{self.root}/documents/batch_id={batch_id}")

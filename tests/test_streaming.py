@@ -1,6 +1,7 @@
 """Sources, the signature store and the stream: stream equals batch, and a replayed batch changes nothing."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from pagesieve.sources.enrichment import align_batches
 from pagesieve.sources.pages import (
     assign_arrival, pages_from_kafka, read_pages_json, read_pages_parquet, split_undecodable, stream_pages_json,
 )
-from pagesieve.sources.signatures import append_signature_table, append_signatures, compact_signatures, read_signatures
+from pagesieve.sources.signatures import (
+    append_signature_table, append_signatures, compact_signatures, read_signature_table, read_signatures,
+)
 from pagesieve.streaming.pipeline import CurationJob, first_seen
 
 RECORD = {
@@ -81,13 +84,16 @@ def test_compacted_store(spark, tmp_path):
 
 
 def test_bucketed_store_is_not_shuffled(spark, tmp_path):
-    table = "signatures_test"
+    table = f"signatures_{uuid.uuid4().hex}"
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    append_signature_table(spark.createDataFrame([("a", "k")], "sig string, key string"), table, 0, buckets=8)
+    assert read_signature_table(spark, table).count() == 0
+    for batch, sigs in [(0, ["a"]), (1, ["b", "c"]), (1, ["c"]), (0, ["a"])]:  # both batches are run again
+        append_signature_table(spark.createDataFrame([(s, "k") for s in sigs], "sig string, key string"), table, batch, buckets=8)
+    assert sorted((r.batch_id, r.sig) for r in read_signature_table(spark, table).collect()) == [(0, "a"), (1, "c")]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         firsts = spark.createDataFrame([("a", 1), ("b", 2)], "sig string, n int").groupBy("sig").agg(F.min("n").alias("n"))
-        left = firsts.join(spark.table(table).select("sig"), "sig", "left_anti")
+        left = firsts.join(read_signature_table(spark, table, before=1).select("sig"), "sig", "left_anti")
         plan = left._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
         assert [r.sig for r in left.collect()] == ["b"]
@@ -144,6 +150,24 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path, job_par
     assert view() == streamed
 
 
+def test_a_job_keeps_its_signatures_in_a_bucketed_table(spark, tmp_path, job_parts):
+    pages, profile, enrichment = job_parts
+    table = f"signatures_{uuid.uuid4().hex}"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    try:
+        job = CurationJob(
+            str(tmp_path / "out"), {}, profile, enrichment, OPTIONS, signature_table=table, signature_buckets=8
+        )
+        halves = [pages.where("ingest_order < 100"), pages.where("ingest_order >= 100")]
+        for batch in (0, 1, 0):
+            job.run_batch(halves[batch], batch)
+        expected = curate(pages, {}, profile, None, enrichment, OPTIONS).new_signatures
+        kept = spark.table(table).select("sig", "key").collect()
+        assert sorted(map(tuple, kept)) == sorted((r.sig, r.key) for r in expected.collect())
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def signature_batches(spark, job):
     return {r.batch_id for r in read_signatures(spark, f"{job.root}/signatures").select("batch_id").distinct().collect()}
 
