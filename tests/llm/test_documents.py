@@ -7,12 +7,13 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontaminate, minhash, packing, passages, pii, quality, toxicity
+from pagesieve.llm import common, decontaminate, minhash, packing, passages, pii, quality, toxicity
 from pagesieve.llm import secrets as secret_scan
 from pagesieve.llm.language_model import cross_entropy_difference
 from pagesieve.llm.queries import tokenizer_files
@@ -259,6 +260,34 @@ def test_language_models_prefer_their_own_corpus(spark):
     assert means[1] < means[0]
 
 
+def test_language_models_count_every_token_of_a_large_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 4000)  # so that there are many blocks
+    random.seed(10)
+    common_words, words = made_up(11, 20), [f"w{k}" for k in range(6000)]
+    texts = [" ".join(random.choice(common_words if random.random() < 0.3 else words) for _ in range(120)) for _ in range(300)]
+    texts += ["the w5999x rare", "the w5999y rare", None, " "]  # alike but for a rare word
+    targets = [k for k in range(304) if k % 3 == 0 and k != 300] + [301]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in cross_entropy_difference(docs, spark.createDataFrame([(k,) for k in targets], "doc_id long")).collect()}
+    tokens = [(t or "").split() for t in texts]
+    vocabulary = len({w for t in tokens for w in t})
+    for name, members in (("background_loss", range(304)), ("target_loss", targets)):
+        pairs, firsts, words = Counter(), Counter(), Counter()
+        for k in members:
+            before = [None, *tokens[k]]
+            pairs.update(zip(before, tokens[k]))
+            firsts.update(before[:-1])
+            words.update(tokens[k])
+        n = sum(words.values())
+        for k, t in enumerate(tokens):
+            each = [
+                -np.log((0.75 * pairs[a, b] / firsts[a] + 0.25 * (words[b] + 1) / (n + vocabulary)) if firsts[a] else (words[b] + 1) / (n + vocabulary))
+                for a, b in zip([None, *t], t)
+            ]
+            assert found[k][name] == (pytest.approx(np.mean(each), rel=1e-9) if t else None)
+    assert found[300].difference > found[301].difference
+
+
 def test_odd_rows_and_empty_tables(spark, odd_documents):
     labels = spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 0, 1), (5, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "one two three four"), (2, None), (None, "x")], "item_id long, text string")
