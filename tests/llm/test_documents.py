@@ -145,6 +145,18 @@ def test_repeated_passages_are_found_and_others_are_not(spark):
     assert all(r.n_words >= 50 and r.similarity >= 0.8 for r in found)
 
 
+def test_passages_with_insertions_are_found_from_either_side():
+    hashes, words = common.WordHashes(), [w.encode() for w in made_up(12, 400)]
+    passage = words[:60]
+    for inserted in (1, 2, 3):
+        longer = passage[:30] + words[60 : 60 + inserted] + passage[30:]
+        a = common.shingle_hashes(hashes.of(words[100:160] + passage + words[160:220]), 5)
+        b = common.shingle_hashes(hashes.of(words[220:300] + longer + words[300:380]), 5)
+        for found in (passages.common_passages(a, b), [(t, u, s, e, j) for s, e, t, u, j in passages.common_passages(b, a)]):
+            ((s, e, t, u, j),) = found
+            assert (s, e, t, u, j) == (60, 116, 80, 136 + inserted, pytest.approx(52 / (56 + 56 + inserted - 52)))
+
+
 def test_compact_windows_against_their_definition():
     random.seed(7)
     for n, least in ((1, 1), (30, 4), (40, 7), (5, 6)):
