@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.llm.common import slices
-from pagesieve.session import cut_lineage
+from pagesieve.session import broadcast_within, cut_lineage
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
@@ -28,8 +28,10 @@ SPECIAL = "<|endoftext|>"
 #: Sources with a queue of their own; all others share one queue, so that the number of sources is not limited.
 OWN_QUEUES = 1000
 JOINT = "\0joint"
+#: Rows of (task, source) that are broadcast at most.
+FEW_CELLS = 500_000
 
-TOKENS = "shard int, doc_id long, source string, n_tokens long, ids binary"
+TOKENS = "task int, before long, doc_id long, source string, n_tokens long, ids binary"
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -56,16 +58,20 @@ def encoder(tokenizer_file: str, ranks_file: str | None) -> Callable[[list[str]]
 
 def tokenize(tokenizer_file: str, ranks_file: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer_file, ranks_file), TaskContext.get().partitionId()
+        encode, task, held = encoder(tokenizer_file, ranks_file), TaskContext.get().partitionId(), {}
         for batch in slices(batches):
             ids = [np.array([*x, END_ID], "<u4") for x in encode([t or "" for t in batch.column("text").to_pylist()])]
             small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\0" + x.tobytes() for x in ids]
+            before = []
+            for source, x in zip(batch.column("source").to_pylist(), ids):
+                before.append(held.get(source, 0))
+                held[source] = before[-1] + len(x)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([shard] * batch.num_rows, pa.int32()), batch.column("doc_id"), batch.column("source"),
+                    pa.array([task] * batch.num_rows, pa.int32()), pa.array(before, pa.int64()), batch.column("doc_id"), batch.column("source"),
                     pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary()),
                 ],
-                ["shard", "doc_id", "source", "n_tokens", "ids"],
+                ["task", "before", "doc_id", "source", "n_tokens", "ids"],
             )
 
     return run
@@ -192,8 +198,9 @@ def pack(
     at which no source runs out early. Sources beyond the largest thousand share one
     queue, as do sources without a target; they and whatever is left when others have run out are packed like the rest.
 
-    Tokens are made once, where the text lies, and written to the shared folder. Each shard, the output of one task, is packed
-    by deficit round-robin. What a source is owed when a shard begins is its target share of all tokens before less what those
+    Tokens are made once, where the text lies, and written to the shared folder. Documents are dealt to as many shards as tasks made
+    them, by where they lie among the tokens of their own source: every shard has the same part of each source, in the same mixture
+    from its first row to its last, however the table is sorted. Each shard is packed by deficit round-robin. What a source is owed when a shard begins is its target share of all tokens before less what those
     shards held of it: one small row per shard. Every shard fills whole windows; only its last tokens form shorter sequences, of
     powers of two, so nothing is padded. A task holds at most ``ahead`` tokens besides the current batch.
 
@@ -204,7 +211,8 @@ def pack(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")
     ).withColumn("source", F.coalesce("source", F.lit("")))
     tokens = cut_lineage(docs.mapInArrow(tokenize(tokenizer_file, ranks_file), TOKENS))
-    counts = cut_lineage(tokens.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n")))
+    places = dealt(tokens)
+    counts = cut_lineage(places.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n")))
     if targets is None:
         top = counts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(OWN_QUEUES)
         targets = {row["source"]: float(row["n"]) for row in top.collect()}
@@ -213,7 +221,32 @@ def pack(
     total = sum(targets.values()) or 1.0
     shares = {source: n / total for source, n in targets.items()}
     owed = carried(counts, shares)
-    return tokens.join(owed, "shard", "left").mapInArrow(pack_rows(shares, length, ahead), PIECES)
+    rows = places.repartition("shard").join(owed, "shard", "left").sortWithinPartitions("shard", "at", "source", "doc_id")
+    return rows.select("shard", "doc_id", "source", "n_tokens", "ids", "owed").mapInArrow(pack_rows(shares, length, ahead), PIECES)
+
+
+def dealt(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with ``at``, where in its source, from 0 to 1, the middle of the document lies, and the ``shard`` of that place.
+
+    Sources begin at different places of the circle of shards, by their hash, so that small ones do not all lie in the first. What the
+    tasks before held of a source is a sum over one small row per task and source.
+    """
+    cells = cut_lineage(tokens.groupBy("task", "source").agg(F.sum("n_tokens").alias("n"), F.max("task").alias("last")))
+    shards = (cells.agg(F.max("last").alias("last")).first()["last"] or 0) + 1
+    cells = cells.select("task", "source", "n", F.floor(F.col("task") / 1000).alias("block"))
+    inside = Window.partitionBy("source", "block").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy("source", "block").agg(F.sum("n").alias("of_block"))
+    blocks = blocks.select("source", "block", F.coalesce(F.sum("of_block").over(earlier), F.lit(0)).alias("blocks_before"))
+    totals = cells.groupBy("source").agg(F.sum("n").alias("total"))
+    offsets = cells.withColumn("tasks_before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["source", "block"]).join(totals, "source")
+    offsets = cut_lineage(offsets.select("task", "source", (F.col("tasks_before") + F.col("blocks_before")).alias("offset"), "total"))
+    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
+    at = (F.col("offset") + F.col("before") + F.col("n_tokens") / 2) / F.col("total") + phase
+    placed = tokens.join(broadcast_within(offsets, FEW_CELLS), ["task", "source"]).withColumn("at", at - F.floor(at))
+    return placed.withColumn("shard", F.least(F.floor(F.col("at") * shards), F.lit(shards - 1)).cast("int")).select(
+        "shard", "at", "doc_id", "source", "n_tokens", "ids"
+    )
 
 
 def queue_of(shares: dict[str, float]) -> Column:

@@ -132,6 +132,20 @@ def test_packing_keeps_target_shares_while_sources_last():
     assert abs(taken["b"] - (0.25 * 30 * 2048 + 300)) <= 2 * packing.LEAST_PIECE
 
 
+def test_windows_hold_every_source_when_the_table_is_sorted_by_source(spark):
+    random.seed(13)
+    names = ["a"] * 300 + ["b"] * 150 + ["c"] * 150
+    rows = [(k, " ".join(made_up(k, 150)), s, "en") for k, s in enumerate(names)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), DOCS)
+    found = packing.pack(docs, *tokenizer_files()).toPandas()
+    taken = found.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    whole = taken[taken.sum(axis=1) == 2048]
+    shares = found.groupby("source").length.sum() / found.length.sum()
+    assert len(whole) > 50 and ((whole > 0).sum(axis=1) == 3).mean() > 0.9
+    assert ((whole / 2048 - shares).abs().max(axis=1) < 0.3).mean() > 0.9
+    assert sorted(found.doc_id.unique()) == list(range(600)) and (found.groupby("doc_id").length.sum() == found.groupby("doc_id").doc_tokens.first()).all()
+
+
 def test_repeated_passages_are_found_and_others_are_not(spark):
     words, passage = made_up(5, 4000), made_up(6, 60)
     docs = {k: " ".join(words[200 * k : 200 * k + 90] + (passage if k in (2, 5, 9) else []) + words[200 * k + 90 : 200 * k + 180]) for k in range(12)}
