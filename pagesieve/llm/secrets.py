@@ -19,6 +19,8 @@ OPAQUE = r"[A-Za-z0-9+/_=-]{24,}+"
 KINDS = ("assign", "access", "hex", "opaque")
 #: A value with at most so many owners is owner-specific; a value that more of them hold was copied around.
 SPECIFIC_OWNERS = 2
+#: and so in at most so many repositories of them; a value in more was copied around by its own owners.
+SPECIFIC_REPOSITORIES = 10
 #: A live-looking value has so many bits of entropy per character at least, and so many different characters.
 LIVE_BITS, LIVE_CHARACTERS = 3.0, 8
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|x{6,}|(.)\1{5,}|0123456|abcdef"
@@ -73,12 +75,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return per_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str | None = None) -> DataFrame:
     """``(doc_id, spans, n_live, n_copied)`` for every row of ``docs``.
 
-    ``docs`` needs ``doc_id``, ``text``, and the columns that name the owner and its repository; other columns are ignored. ``spans``
-    holds kind, start, end, owners, repositories and verdict: ``live`` (looks random, at most two owners), ``copied`` (more owners)
-    or ``weak`` (does not look random). Base spans stay whatever their verdict; spans of kind ``opaque``, which the method adds,
+    ``docs`` needs ``doc_id``, ``text``, and the columns that name the owner and its repository; other columns are ignored. Without a
+    ``repository`` column each class of equal texts of an owner is a repository. ``spans`` holds kind, start, end, owners,
+    repositories and verdict: ``live`` (looks random, at most two owners and ten repositories), ``copied`` (more of either) or
+    ``weak`` (does not look random). Base spans stay whatever their verdict; spans of kind ``opaque``, which the method adds,
     stay only if live and clear of base spans. Counts of owners cover all rows.
 
     Null and empty texts have no spans. A null owner or repository counts as one of its own. Repeated rows and repeated doc_ids are
@@ -86,7 +89,8 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang
     """
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
+        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
+        (F.xxhash64("text").cast("string") if repository is None else F.coalesce(F.col(repository).cast("string"), F.lit(""))).alias("repository"),
     )
     found = find_candidates(narrow).drop("text")
     # A row's own number, fixed by writing the table: doc_id may repeat.
@@ -94,7 +98,8 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang
     one = found.select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
     one = one.withColumn("value_hash", F.xxhash64("value"))
     held = one.join(ownership(one), "value_hash")
-    verdict = F.when(~live_looking(F.col("value")), "weak").when(F.col("owners") <= SPECIFIC_OWNERS, "live").otherwise("copied")
+    specific = (F.col("owners") <= SPECIFIC_OWNERS) & (F.col("repositories") <= SPECIFIC_REPOSITORIES)
+    verdict = F.when(~live_looking(F.col("value")), "weak").when(specific, "live").otherwise("copied")
     judged = held.withColumn("verdict", verdict).where("kind <> 'opaque' OR verdict = 'live'")
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "owners", "repositories", "verdict"))).alias("spans"))
     merged = found.select("row", "doc_id").join(spans, "row", "left")

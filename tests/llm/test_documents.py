@@ -246,6 +246,14 @@ def test_ownership_separates_copied_examples_from_live_secrets(spark):
     assert [(s.kind, s.verdict, s.owners) for s in found[9].spans] == [("assign", "live", 1), ("opaque", "live", 1)]
 
 
+def test_a_value_in_many_texts_of_one_owner_is_copied(spark):
+    shared, own = "Ab3dEf7hIj1kLm5nOp9qRs2tUv4w", "Zq81mXv7Lr2Pw9TbHk35nDy6Gc4J"
+    rows = [(k, f"text {k} has {shared}", "hot", "en") for k in range(40)] + [(40 + k, f"one text has {own}", "hot", "en") for k in range(40)]
+    found = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(found[k].spans for k in range(40))
+    assert {(s.owners, s.repositories, s.verdict) for k in range(40, 80) for s in found[k].spans} == {(1, 1, "live")}
+
+
 def test_redaction_replaces_spans_and_nothing_else(spark):
     rows = [(1, "mail me: jo@ex.com, from 10.0.0.1 é.", "s", "en"), (2, None, "s", "en"), (3, "no data 12.5", "s", "en")]
     found = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, DOCS)).collect()}
