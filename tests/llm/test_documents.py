@@ -254,6 +254,14 @@ def test_a_value_in_many_texts_of_one_owner_is_copied(spark):
     assert {(s.owners, s.repositories, s.verdict) for k in range(40, 80) for s in found[k].spans} == {(1, 1, "live")}
 
 
+def test_the_whole_value_decides_whether_it_looks_live(spark):
+    random.seed(14)
+    noise = "".join(random.choice("ABCDEGHJKMNPQRSTUVWXYZacdeghijkmnqrstuvwz23456789") for _ in range(300))
+    values = {1: "qwErty" * 50 + noise, 2: noise + "changeme" + noise, 3: noise + "A" * 9, 4: noise}
+    docs = spark.createDataFrame([(k, f"x {v} y", "s", "en") for k, v in values.items()], DOCS)
+    assert {r.doc_id: r.n_live for r in secret_scan.scan_secrets(docs).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
 def test_redaction_replaces_spans_and_nothing_else(spark):
     rows = [(1, "mail me: jo@ex.com, from 10.0.0.1 é.", "s", "en"), (2, None, "s", "en"), (3, "no data 12.5", "s", "en")]
     found = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, DOCS)).collect()}
