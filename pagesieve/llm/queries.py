@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.llm.decontaminate import contaminated
+from pagesieve.llm.divergence import source_divergence
 from pagesieve.llm.language_model import cross_entropy_difference
 from pagesieve.llm.minhash import near_duplicates
 from pagesieve.llm.packing import pack
@@ -17,6 +18,8 @@ from pagesieve.llm.quality import score_quality
 from pagesieve.llm.secrets import scan_secrets, secret_digest
 from pagesieve.llm.toxicity import score_toxicity
 from pagesieve.llm.vectors import near_vectors
+from pagesieve.llm.warc import archive_round_trip
+from pagesieve.llm.whitening import whiten
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +77,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_digest(contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_classifier, op2_packing, op3_substring_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_secret_scan, op7_pii,
-        op8_lm_scoring, op9_toxicity, op10_decontamination, pipeline,
+        op8_lm_scoring, op9_toxicity, op10_decontamination, op11_warc, op12_whitening, op13_divergence, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -152,6 +167,44 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP11 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), shared AS (SELECT html, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT p.page_id, payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN p.page_id IS DISTINCT FROM holder AND holder IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM p LEFT JOIN shared ON shared.html = p.html
+"""
+
+OP13 = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), words AS (SELECT lang, source, doc, unnest(w) AS term FROM d)
+, kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= 3)
+, langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang)
+, counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL)
+, sizes AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL)
+, groups AS (SELECT DISTINCT lang, source FROM d)
+, shares AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(s.n, 0) + l.v) AS p, 1 + (1000000000 * (k.n + 1)::HUGEINT) // (l.n + l.v) AS q
+  FROM groups JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sizes s USING (lang, source) LEFT JOIN counts c USING (lang, source, term)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def all_oracles() -> dict[str, str]:
     """The others train models, carry state from window to window or aggregate votes by iteration: SQL cannot express them."""
-    return {"op4_embedding_dedup": OP4, "op5_minhash_dedup": OP5, "op10_decontamination": OP10}
+    return {"op4_embedding_dedup": OP4, "op5_minhash_dedup": OP5, "op10_decontamination": OP10, "op11_warc": OP11, "op13_divergence": OP13}
