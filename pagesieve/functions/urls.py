@@ -7,6 +7,10 @@ Characters a path or fragment may not hold are percent-encoded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,11 +153,29 @@ def _normalize_trimmed(trimmed: Column) -> Column:
     )
 
 
+def _once(build: Callable[[Column | str], Column]) -> Callable[[Column | str], Column]:
+    """One expression for each column name: to build these takes thousands of calls to the JVM, for every micro-batch anew."""
+    made: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(col: Column | str) -> Column:
+        if not isinstance(col, str):
+            return build(col)
+        place = col, id(SparkContext._gateway)
+        if place not in made:
+            made[place] = build(col)
+        return made[place]
+
+    return get
+
+
+@_once
 def normalize_url(col: Column | str) -> Column:
     """The normalised URL, or null when the URL is invalid."""
     return _normalize_trimmed(trim_unicode(col))
 
 
+@_once
 def normalize_links(col: Column | str) -> Column:
     """Normalise every link, keep order and repeats, drop invalid ones; null when none is left."""
     links = F.col(col) if isinstance(col, str) else col

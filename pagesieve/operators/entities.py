@@ -6,12 +6,16 @@ order whose entities do not overlap.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import text_or_empty
 from pagesieve.schemas import ENTITIES
-from pagesieve.session import broadcast_within
+from pagesieve.session import cut_lineage
 
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 _HOST = r"[A-Za-z0-9][A-Za-z0-9\-]*+(?:\.[A-Za-z0-9\-]++)*+"
@@ -38,7 +42,8 @@ _ITEM = "|".join(
 )
 # Most items are plain words and are dismissed by how they begin and end.
 _MAY_BE_LABELLED = r"^[$€£0-9]|\.(?:com|org|net)$|^[A-Z][a-z]+ [0-9]"
-_BROADCAST_NAMES = 500_000
+# Measured bytes of the names that are sent to the texts, at most, counting what one takes besides its text.
+_BROADCAST_BYTES, _NAME_BYTES = 32_000_000, 200
 
 
 def _label(item: Column) -> Column:
@@ -82,36 +87,84 @@ def _candidate(pos: Column, kind: int, n: Column, text: Column, label: Column) -
     )
 
 
-def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "key", text: str = "visible_text") -> DataFrame:
-    """``(key, names)``: every mention of a gazetteer name as candidates for the document's list.
+def anchored_names(gazetteer: DataFrame) -> DataFrame:
+    """``(anchor, offset, run, n, label)``: every distinct name once, looked up by its rarest word.
 
-    ``gazetteer`` is ``(name, label)``. Names and texts are cut into words alike, case and what lies between words ignored, and
-    a name may have any number of words. For every length that names have, the runs of so many words are equi-joined to them.
+    Rarest is the word that the fewest names hold; of equals the longest, then the smallest, then the first. A text meets a name only
+    where it has that word, so common words of long names cost nothing.
     """
     names = (
-        gazetteer.select(_words(F.col("name")).alias("words"), "label")
+        gazetteer.select(F.transform(_words(F.col("name")), F.lower).alias("words"), "label")
         .where(F.size("words") > 0)
-        .groupBy(F.lower(F.array_join("words", " ")).alias("run"), F.size("words").alias("n"))
+        .groupBy(F.array_join("words", " ").alias("run"), F.size("words").alias("n"))
         .agg(F.min("label").alias("label"))
     )
-    # one row per length of a name, not per name
-    lengths = sorted(row.n for row in names.select("n").distinct().collect()) or [1]
-
-    def runs(n: int) -> Column:
-        return F.expr(
-            f"CASE WHEN size(words) >= {n} THEN transform(sequence(0, size(words) - {n}),"
-            f" i -> struct(i AS pos, {n} AS n, array_join(slice(words, i + 1, {n}), ' ') AS text)) END"
-        )
-
-    words = docs.select(key, _words(text_or_empty(text)).alias("words"))
-    every = [words.select(key, F.explode(runs(n)).alias("m")).select(key, "m.*", F.lower("m.text").alias("run")) for n in lengths]
-    known = broadcast_within(names, _BROADCAST_NAMES)
-    found = [part.join(known, ["run", "n"]) for part in every]
-    together = found[0]
-    for part in found[1:]:
-        together = together.unionByName(part)
-    candidate = _candidate(F.col("pos"), 0, F.col("n"), F.col("text"), F.col("label"))
-    return together.groupBy(key).agg(F.collect_list(candidate).alias("names"))
+    placed = names.select("run", "n", "label", F.posexplode(F.split("run", " ")).alias("offset", "anchor"))
+    held = placed.groupBy("anchor").agg(F.countDistinct("run").alias("names"))
+    rarest = F.min(F.struct("names", (-F.length("anchor")).alias("shorter"), "anchor", "offset")).alias("least")
+    return (
+        placed.join(held, "anchor").groupBy("run", "n", "label").agg(rarest)
+        .select("least.anchor", "least.offset", "run", "n", "label")
+    )
+
+
+def _mentions(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For every text the places where a name stands: its anchor is there and the words around it are the name's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = known.value
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("label", pa.string())]))
+        for batch in batches:
+            found = []
+            for words in batch.column("lowered").to_pylist():
+                here = []
+                for at, word in enumerate(words):
+                    for offset, name, label in anchors.get(word, ()):
+                        if at >= offset and words[at - offset : at - offset + len(name)] == name:
+                            here.append({"pos": at - offset, "n": len(name), "label": label})
+                found.append(here or None)
+            kept = [c for c in batch.schema.names if c != "lowered"]
+            columns = [*(batch.column(c) for c in kept), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "mentions"])
+
+    return run
+
+
+def _placed(mentions: Column, words: Column) -> Column:
+    """Mentions as candidates, with the words of the text as it has them."""
+    return F.transform(
+        mentions, lambda m: _candidate(m["pos"], 0, m["n"], F.array_join(F.slice(words, m["pos"] + 1, m["n"]), " "), m["label"])
+    )
+
+
+def gazetteer_mentions(
+    docs: DataFrame, gazetteer: DataFrame, key: str = "key", text: str = "visible_text", broadcast_bytes: int | None = None
+) -> DataFrame:
+    """``(key, names)``: every mention of a gazetteer name as candidates for the document's list.
+
+    ``gazetteer`` is ``(name, label)``. Names and texts are cut into words alike, case and what lies between words ignored, and
+    a name may have any number of words. Names go to the texts where their measured bytes allow it, and nothing is shuffled. Beyond,
+    each text's words meet the names anchored at them, and what is met is confirmed on the text, which moves once, on its key.
+    """
+    anchors = cut_lineage(anchored_names(gazetteer))
+    size = anchors.agg(F.sum(F.octet_length("run") * 2 + F.coalesce(F.octet_length("label"), F.lit(0)) + _NAME_BYTES)).first()[0] or 0
+    texts = docs.select(key, _words(text_or_empty(text)).alias("words"))
+    lowered = F.transform("words", F.lower).alias("lowered")
+    if size <= (_BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        names: dict[str, list[tuple[int, list[str], str]]] = {}
+        for a in anchors.toLocalIterator():
+            names.setdefault(a.anchor, []).append((a.offset, a.run.split(" "), a.label))
+        known = docs.sparkSession.sparkContext.broadcast(names)
+        kind = docs.schema[key].dataType.simpleString()
+        schema = f"`{key}` {kind}, words array<string>, mentions array<struct<pos: int, n: int, label: string>>"
+        found = texts.select(key, "words", lowered).mapInArrow(_mentions(known), schema).where("mentions IS NOT NULL")
+        return found.select(key, _placed(F.col("mentions"), F.col("words")).alias("names"))
+    met = texts.select(key, F.posexplode(F.transform("words", F.lower)).alias("at", "anchor")).join(anchors, "anchor")
+    met = met.where("at >= offset").select(key, (F.col("at") - F.col("offset")).alias("pos"), "n", "run", "label")
+    begun = met.groupBy(key).agg(F.collect_list(F.struct("pos", "n", "run", "label")).alias("begun"))
+    stands = F.filter("begun", lambda m: F.array_join(F.transform(F.slice(F.col("words"), m["pos"] + 1, m["n"]), F.lower), " ") == m["run"])
+    confirmed = texts.join(begun, key).select(key, "words", stands.alias("mentions")).where(F.size("mentions") > 0)
+    return confirmed.select(key, _placed(F.col("mentions"), F.col("words")).alias("names"))
 
 
 def _without_overlap(candidates: Column) -> Column:
@@ -128,7 +181,7 @@ def _without_overlap(candidates: Column) -> Column:
 
 
 def extract_entities(
-    docs: DataFrame, gazetteer: DataFrame | None = None, key: str = "key", text: str = "visible_text"
+    docs: DataFrame, gazetteer: DataFrame | None = None, key: str = "key", text: str = "visible_text", broadcast_bytes: int | None = None
 ) -> DataFrame:
     """``(key, entities)`` for every document, in text order without overlap; blank text gives an empty array.
 
@@ -139,7 +192,7 @@ def extract_entities(
         return docs.select(key, pattern_entities(text).alias("entities"))
     found = docs.select(key, _placed_patterns(text).alias("patterns"))
     only_patterns = F.transform("patterns", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label")))
-    names = gazetteer_mentions(docs, gazetteer, key, text)
+    names = gazetteer_mentions(docs, gazetteer, key, text, broadcast_bytes)
     return found.join(names, key, "left").select(
         key,
         F.when(F.col("names").isNull(), only_patterns)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,30 +16,36 @@ from pagesieve.schemas import Options
 from pagesieve.session import cut_lineage
 
 _SMOOTHING = 0.5
-# Largest profile (grams x languages x 8 bytes) that is broadcast; a larger one is joined by shuffle.
-_BROADCAST_BYTES = 64_000_000
+# Bytes of the part of a profile that is broadcast: 16 for each gram and 8 for each of its languages.
+_BROADCAST_BYTES = 32_000_000
 UNKNOWN = "unknown"
 ENGLISH = "en"
 
 
-def trigrams(text: Column | str) -> Column:
-    """Every character trigram of the lower-cased text, non-letters folded to single spaces."""
-    letters = F.regexp_replace(F.lower(text_or_empty(text)), r"[^\p{L}]+", " ")
-    return F.regexp_extract_all(letters, F.lit(r"(?=(...))."), F.lit(1))
+def _folded(text: Column | str) -> Column:
+    """The lower-cased text with non-letters folded to single spaces."""
+    return F.regexp_replace(F.lower(text_or_empty(text)), r"[^\p{L}]+", " ")
 
 
-def train_language_profile(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(lang, gram, logp)``: add-0.5 smoothed log-probabilities of the trigrams seen per language, and for every
-    language one row with an empty gram that holds the value of an unseen trigram.
+def trigrams(text: Column | str) -> Column:
+    """Every character trigram of the folded text."""
+    return F.regexp_extract_all(_folded(text), F.lit(r"(?=(...))."), F.lit(1))
 
-    The texts are read once: counts are combined map-side and kept, and all else is of profile size.
-    """
-    counts = cut_lineage(
+
+def count_trigrams(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, gram, n)``: what a profile is made of. Tables of different texts add up (``operators.counts``)."""
+    return (
         labelled.where(F.col(lang).isNotNull())
         .select(F.lower(lang).alias("lang"), F.explode(trigrams(text)).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
     )
+
+
+def profile_from_counts(counts: DataFrame) -> DataFrame:
+    """``(lang, gram, logp)``: add-0.5 smoothed log-probabilities of the trigrams seen per language, and for every
+    language one row with an empty gram that holds the value of an unseen trigram. ``counts`` should be a written table.
+    """
     vocabulary = counts.select("gram").distinct().count()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     seen = counts.join(totals, "lang").select("lang", "gram", "n", "total")
@@ -42,58 +54,130 @@ def train_language_profile(labelled: DataFrame, text: str = "text", lang: str =
     return seen.unionByName(unseen).select("lang", "gram", F.ln(smoothed).alias("logp"))
 
 
-def language_scores(pages: DataFrame, profile: DataFrame, keys: list[str], text: str = "visible_text") -> DataFrame:
-    """``(keys, detected, en_conf)`` for every page with at least one known trigram.
+def train_language_profile(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The profile of ``labelled`` texts, trained at once: they are read once, and all else is of profile size."""
+    return profile_from_counts(cut_lineage(count_trigrams(labelled, text, lang)))
+
+
+def _codes(folded: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a folded text, each as one number, and how often they occur."""
+    c = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True) if len(c) > 2 else (c[:0], c[:0])
+
+
+def _text_of(code: int) -> str:
+    return "".join(chr((code >> shift) & 0x1FFFFF) for shift in (42, 21, 0))
+
+
+def _score(known: Broadcast, keys: list[str], with_rest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For every page its number of trigrams, of known ones, and a sum for each language; with the unknown ones, if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, scores, unseen = known.value
+        for batch in batches:
+            rows = []
+            for folded in batch.column("folded").to_pylist():
+                codes, times = _codes(folded)
+                at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+                hit = grams[at] == codes if len(grams) else np.zeros(len(codes), bool)
+                n, seen = int(times.sum()), int(times[hit].sum())
+                sums = times[hit] @ scores[at[hit]] + (n - seen) * unseen
+                rest = [{"gram": _text_of(int(c)), "times": int(t)} for c, t in zip(codes[~hit], times[~hit])] if with_rest else None
+                rows.append((n, int(hit.sum()), sums, rest))
+            columns = [
+                *(batch.column(k) for k in keys), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.list_(pa.float64())),
+            ]
+            names = [*keys, "n", "known", "sums"]
+            if with_rest:
+                kind = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
+                columns, names = [*columns, pa.array([r[3] for r in rows], kind)], [*names, "rest"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    Each trigram meets the profile (one row per gram, one column per language) and the map side already sums per page,
-    so the only shuffle carries one short row per page. A profile too large to be broadcast meets each page's distinct
-    trigrams with their numbers instead of all of them. Averages, not totals, so long pages do not saturate.
+    return run
+
+
+def _common(by_gram: DataFrame, size: int, most: int) -> Column:
+    """Which trigrams are broadcast: the likeliest in any language, by quarters of a unit of log-probability, within the byte bound."""
+    grade = F.floor(F.array_max("scores") * 4).cast("int")
+    total, lowest = 0, 1
+    for row in by_gram.groupBy(grade.alias("grade")).agg(F.count("*").alias("n")).orderBy(F.desc("grade")).collect():  # some 100 rows
+        if (total + row.n) * size > most:
+            break
+        total, lowest = total + row.n, row.grade
+    return grade >= lowest
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """A profile made ready to score with: the likeliest trigrams broadcast, and the rest of it, if there is one, as a table."""
+
+    langs: list[str]
+    unseen: list[float]
+    known: Broadcast
+    rest: DataFrame | None
+
+
+def prepare_profile(profile: DataFrame, broadcast_bytes: int | None = None) -> LanguageModel:
+    """Cut a profile for scoring. A trigram's values are one array over the languages.
+
+    The likeliest trigrams, as many as the byte bound allows, will be sent to the texts; usually these are all.
     """
     # one row per language, not per gram
     unseen = {row.lang: row.logp for row in profile.where("gram = ''").select("lang", "logp").collect()}
     if not unseen:
         raise ValueError("a language profile must hold a language")
     langs = sorted(unseen)
-    by_gram = (
-        profile.where("gram <> ''")
-        .groupBy("gram")
-        .agg(
-            *[
-                F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("logp"))), F.lit(unseen[lang])).alias(f"p{i}")
-                for i, lang in enumerate(langs)
-            ]
-        )
-    )
-    small = profile.where("gram <> ''").select("gram").distinct().count() * len(langs) * 8 <= _BROADCAST_BYTES
-    # joined on a long, which is faster to look up than a string; grams are of equal length, so the prefix test makes the
-    # match exact without becoming a second join key
-    by_hash = by_gram.withColumnRenamed("gram", "known_gram").withColumn("known_hash", F.xxhash64("known_gram"))
-    same = (F.col("hash") == F.col("known_hash")) & F.startswith("gram", "known_gram")
-    grams = pages.select(*keys, F.explode(trigrams(text)).alias("gram"))
-    if small:
-        grams, by_hash = grams.withColumn("times", F.lit(1)), F.broadcast(by_hash)
-    else:
-        grams = grams.groupBy(*keys, "gram").agg(F.count("*").alias("times"))
-    sums = (
-        grams.withColumn("hash", F.xxhash64("gram"))
-        .join(by_hash, same, "left")
-        .groupBy(*keys)
-        .agg(
-            F.sum("times").alias("n"),
-            F.count("p0").alias("known"),
-            *[F.sum(F.col("times") * F.coalesce(f"p{i}", F.lit(unseen[lang]))).alias(f"s{i}") for i, lang in enumerate(langs)],
-        )
-        .where("known > 0")
-        .select(*keys, *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in range(len(langs))])
-    )
-    best = F.greatest(*[f"a{i}" for i in range(len(langs))]) if len(langs) > 1 else F.col("a0")
-    detected = F.coalesce(*[F.when(F.col(f"a{i}") == F.col("best"), lang) for i, lang in enumerate(langs)])
-    share = sum((F.exp(F.col(f"a{i}") - F.col("best")) for i in range(len(langs))), F.lit(0.0))
-    english = F.exp(F.col(f"a{langs.index(ENGLISH)}") - F.col("best")) if ENGLISH in langs else F.lit(0.0)
-    return sums.withColumn("best", best).select(*keys, detected.alias("detected"), (english / share).alias("en_conf"))
-
+    place = F.create_map(*[F.lit(x) for pair in zip(langs, range(len(langs))) for x in pair])
+    floor = F.array(*[F.lit(unseen[lang]) for lang in langs])
+    found = F.map_from_entries(F.collect_list(F.struct(place[F.col("lang")].alias("i"), "logp")))  # an entry for each language
+    by_gram = profile.where("gram <> ''").groupBy("gram").agg(found.alias("found"))
+    by_gram = by_gram.select("gram", F.transform(floor, lambda low, i: F.coalesce(F.col("found")[i], low)).alias("scores"))
+    by_gram = cut_lineage(by_gram)
+    common = _common(by_gram, 16 + 8 * len(langs), _BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+    table = by_gram.where(common).toArrow()
+    codes = np.array([_codes(g)[0][0] for g in table["gram"].to_pylist()], np.int64)
+    order = np.argsort(codes)
+    scores = np.array(table["scores"].to_pylist(), np.float64).reshape(len(codes), len(langs))[order]
+    low = [unseen[lang] for lang in langs]
+    known = profile.sparkSession.sparkContext.broadcast((codes[order], scores, np.array(low)))
+    rest = by_gram.where(~common)
+    return LanguageModel(langs, low, known, None if rest.isEmpty() else rest)
+
+
+def language_scores(pages: DataFrame, profile: DataFrame | LanguageModel, keys: list[str], text: str = "visible_text") -> DataFrame:
+    """``(keys, detected, en_conf)`` for every page with at least one known trigram.
 
-def detect_language(pages: DataFrame, profile: DataFrame, keys: list[str], options: Options = Options()) -> DataFrame:
+    Texts are scored where they lie by the broadcast part of the profile (prepared here, if it is not). Only if the profile has more,
+    each page's other trigrams, distinct and with their numbers, meet the rest of it: trigrams so rare in every language that none is a
+    hot key. Averages, not totals, so long pages do not saturate.
+    """
+    model = profile if isinstance(profile, LanguageModel) else prepare_profile(profile)
+    langs, known, rest, with_rest = model.langs, model.known, model.rest, model.rest is not None
+    floor = F.array(*map(F.lit, model.unseen))
+    folded = pages.select(*keys, _folded(text).alias("folded"))
+    own = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{own}, n long, known long, sums array<double>" + (", rest array<struct<gram: string, times: bigint>>" if with_rest else "")
+    sums = folded.mapInArrow(_score(known, keys, with_rest), schema)
+    if with_rest:
+        sums = cut_lineage(sums)
+        met = sums.select(*keys, F.explode("rest").alias("r")).select(*keys, "r.gram", "r.times").join(rest, "gram")
+        gain = F.transform(F.arrays_zip("scores", floor.alias("floor")), lambda s: F.col("times") * (s["scores"] - s["floor"]))
+        by_lang = met.select(*keys, F.posexplode(gain).alias("i", "gain")).groupBy(*keys, "i").agg(F.sum("gain").alias("gain"), F.count("*").alias("met"))
+        added = by_lang.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "gain"))).alias("gains"), F.max("met").alias("met"))
+        more = F.transform("sums", lambda s, i: s + F.coalesce(F.col("gains")[i], F.lit(0.0)))
+        sums = sums.drop("rest").join(added, keys, "left").withColumn("sums", more).withColumn("known", F.col("known") + F.coalesce("met", F.lit(0)))
+    average = F.transform("sums", lambda s: s / F.col("n"))
+    averages = sums.where("known > 0").select(*keys, average.alias("a")).withColumn("best", F.array_max("a"))
+    names = F.array(*map(F.lit, langs))
+    weights = F.transform("a", lambda x: F.exp(x - F.col("best")))
+    share = F.aggregate(weights, F.lit(0.0), lambda total, w: total + w)
+    english = F.element_at(weights, langs.index(ENGLISH) + 1) if ENGLISH in langs else F.lit(0.0)
+    detected = F.element_at(names, F.array_position("a", F.col("best")).cast("int"))
+    return averages.select(*keys, detected.alias("detected"), (english / share).alias("en_conf"))
+
+
+def detect_language(pages: DataFrame, profile: DataFrame | LanguageModel, keys: list[str], options: Options = Options()) -> DataFrame:
     """Scores for the pages long enough to be detected; the cheap byte test runs before the trigram join."""
     return language_scores(pages.where(byte_length("visible_text") >= options.min_detect_bytes), profile, keys)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagesieve.operators.language import UNKNOWN
@@ -27,10 +29,11 @@ def _counters(options: Options) -> dict[str, Column]:
     return {
         "pages_processed": n(outcome == "indexed"),
         "invalid_urls": n(outcome == "invalid_url"),
+        "unkeyed": n(outcome == "unkeyed"),
         "duplicates": n(outcome == "duplicate"),
         "non_english": n(outcome == "non_english"),
         "high_spam": n(outcome == "high_spam"),
-        "detection_failures": n(failed & ~outcome.isin("invalid_url", "duplicate")),
+        "detection_failures": n(failed & ~outcome.isin("invalid_url", "unkeyed", "duplicate")),
     }
 
 
@@ -44,30 +47,40 @@ def observe_outcomes(decisions: DataFrame, name: str, options: Options = Options
     return decisions.observe(name, *[c.alias(label) for label, c in _counters(options).items()])
 
 
+_BOUNDS = [float(b) for b in SPAM_BUCKETS] + [float("inf")]
+
+
+def _spam_buckets(value: Column) -> dict[str, Column]:
+    return {
+        "buckets": F.array(*[F.count(F.when(value <= b, 1)) for b in _BOUNDS]),
+        "n": F.count(value),
+        "score_sum": F.coalesce(F.sum(value), F.lit(0)).cast("long"),
+    }
+
+
 def spam_histogram(passed: DataFrame, score: str = "spam_score") -> DataFrame:
     """Cumulative ``(bound, pages)`` buckets with the total ``n`` and ``score_sum``, over pages that pass the spam gate.
 
     One pass: all buckets are one aggregate row, turned to rows afterwards.
     """
-    value = F.col(score)
-    bounds = [float(b) for b in SPAM_BUCKETS] + [float("inf")]
-    one = passed.agg(
-        F.array(*[F.count(F.when(value <= b, 1)) for b in bounds]).alias("buckets"),
-        F.count(value).alias("n"),
-        F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("score_sum"),
-    )
+    bounds = _BOUNDS
+    one = passed.agg(*[c.alias(name) for name, c in _spam_buckets(F.col(score)).items()])
     return one.select(F.posexplode("buckets").alias("i", "pages"), "n", "score_sum").select(
         F.element_at(F.array(*[F.lit(b) for b in bounds]), F.col("i") + 1).alias("bound"), "pages", "n", "score_sum"
     )
 
 
+def _enrichment() -> dict[str, Column]:
+    asked = F.col("shape") != "empty_text"  # by shape: a document's text is cleaned, a page's is not
+    return {
+        "nlp_requests": F.count(F.when(asked, 1)),
+        "nlp_errors": F.count(F.when(asked & (F.col("shape") == "nlp_failed"), 1)),
+    }
+
+
 def enrichment_counters(enriched: DataFrame) -> DataFrame:
     """``nlp_requests`` and ``nlp_errors``: once per page that reached enrichment with text."""
-    asked = F.col("shape") != "empty_text"  # by shape: a document's text is cleaned, a page's is not
-    return enriched.agg(
-        F.count(F.when(asked, 1)).alias("nlp_requests"),
-        F.count(F.when(asked & (F.col("shape") == "nlp_failed"), 1)).alias("nlp_errors"),
-    )
+    return enriched.agg(*[c.alias(name) for name, c in _enrichment().items()])
 
 
 def sink_counters(documents: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -85,3 +98,38 @@ def bulk_counters(lines: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("n") + 1), F.lit(0)).cast("long").alias("bulk_bytes"),
         F.countDistinct("file").alias("bulk_files"),
     )
+
+
+@dataclass
+class BatchCounters:
+    """All counters of a batch, gathered while its tables are written: no table is read again to be counted.
+
+    Pass each table through its method before it is written; ``values`` has the numbers once all are.
+    """
+
+    options: Options = Options()
+    decided: Observation = field(default_factory=Observation)
+    documented: Observation = field(default_factory=Observation)
+    sunk: Observation = field(default_factory=Observation)
+
+    def decisions(self, decisions: DataFrame) -> DataFrame:
+        spam = F.when(F.col("outcome") == "indexed", F.col("spam"))
+        found = _counters(self.options) | _spam_buckets(spam) | {"claims": F.count_if("claims")}
+        return decisions.observe(self.decided, *[c.alias(name) for name, c in found.items()])
+
+    def documents(self, documents: DataFrame) -> DataFrame:
+        return documents.observe(self.documented, *[c.alias(name) for name, c in _enrichment().items()])
+
+    def bulk(self, lines: DataFrame) -> DataFrame:
+        """``lines`` with one row per document that holds both of its lines."""
+        size = F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).cast("long")
+        return lines.observe(self.sunk, F.count("*").alias("documents"), size.alias("bulk_bytes"))
+
+    def values(self) -> dict[str, int]:
+        found = self.decided.get | self.documented.get | self.sunk.get
+        return {name: value for name, value in found.items() if name not in ("buckets", "n", "score_sum")}
+
+    def histogram(self) -> list[tuple[float, int, int, int]]:
+        """``(bound, pages, n, score_sum)`` like ``spam_histogram``."""
+        found = self.decided.get
+        return [(bound, pages, found["n"], found["score_sum"]) for bound, pages in zip(_BOUNDS, found["buckets"])]

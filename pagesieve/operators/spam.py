@@ -13,17 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import text_or_empty
+from pagesieve.operators.phrases import dictionary_matches, phrase_sums  # noqa: F401  the large-dictionary forms
 from pagesieve.schemas import Options
 from pagesieve.sources.dictionary import MAX_LITERAL_PHRASES
 
 # More alternatives than this at one place of the pattern are split in two halves, each behind a one-character look.
 _BRANCHES = 4
-# Numbers of first characters by which the join form looks phrases up.
-_ANCHORS = (1, 2, 4, 8)
-# Largest dictionary table that is broadcast by the join form, counting a row's own bytes; a larger one is salted.
-_BROADCAST_BYTES = 64_000_000
-_ROW_BYTES = 64
-_SALTS = 32
 
 
 def _phrase_pattern(phrases: list[str]) -> str:
@@ -115,59 +110,11 @@ def is_high_spam(text: Column | str, score: Column | str, threshold: int) -> Col
     return (text_or_empty(text) != "") & (score >= threshold)
 
 
-def _anchored(dictionary: DataFrame) -> DataFrame:
-    """``(anchor, phrase, weight)``: every phrase with the characters it is looked up by."""
-    n = F.length("phrase")
-    width = F.coalesce(*[F.when(n >= w, w) for w in reversed(_ANCHORS)])
-    return dictionary.where("phrase <> ''").select(F.left("phrase", width).alias("anchor"), "phrase", "weight")
-
-
-def dictionary_matches(pages: DataFrame, dictionary: DataFrame, key: str = "key", text: str = "visible_text") -> DataFrame:
-    """``(key, phrase, weight)`` for every distinct phrase in every text, for dictionaries of any size.
-
-    Phrases are looked up by length class: by as many first characters as the largest of ``_ANCHORS`` they reach. A page meets them
-    with its distinct character runs of these few lengths, so a one-letter phrase adds the page's letters and changes nothing for
-    longer phrases. What begins right is confirmed on the text, met once on the unique key; a page without a key has no rows.
-    """
-    anchored = _anchored(dictionary)
-    sized = anchored.groupBy(F.length("anchor").alias("width")).agg(
-        F.sum(F.octet_length("anchor") + F.octet_length("phrase") + _ROW_BYTES).alias("bytes")
-    ).collect()  # one row per class
-    if not sized:
-        return pages.select(key).limit(0).join(dictionary.select("phrase", "weight").limit(0), F.lit(False))
-    lowered = F.lower(text_or_empty(text))
-    runs = [
-        F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{row.width}}}))."), F.lit(1)))
-        for row in sorted(sized)
-    ]
-    keyed = pages.where(F.col(key).isNotNull())
-    met = keyed.select(key, F.explode(F.concat(*runs)).alias("anchor"))
-    if sum(row.bytes for row in sized) <= _BROADCAST_BYTES:
-        begun = met.join(F.broadcast(anchored), "anchor")
-    else:  # common runs occur on most pages: each is split over salts, and the dictionary, the small side, repeated for them
-        salted = anchored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        begun = met.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")).join(salted, ["anchor", "salt"])
-    candidates = begun.groupBy(key).agg(F.collect_set(F.struct("phrase", "weight")).alias("begun"))
-    confirmed = F.filter("begun", lambda c: F.contains(F.col("lowered"), c["phrase"]))
-    return (
-        keyed.select(key, lowered.alias("lowered"))
-        .join(candidates, key)
-        .select(key, F.explode(confirmed).alias("hit"))
-        .select(key, "hit.phrase", "hit.weight")
-    )
-
-
 def spam_scores_by_join(
     pages: DataFrame, dictionary: DataFrame, options: Options = Options(), text: str = "visible_text"
 ) -> DataFrame:
-    """``(key, spam_score)`` like ``spam_score``, for dictionaries too large to be literals."""
-    raw = dictionary_matches(pages, dictionary, options.key, text).groupBy(options.key).agg(F.sum("weight").alias("raw"))
-    lengths = pages.select(options.key, F.char_length(text_or_empty(text)).cast("long").alias("n"))
-    total = F.coalesce("raw", F.lit(0).cast("long"))
-    return lengths.join(raw, options.key, "left").select(
-        options.key,
-        F.when(F.col("n") > options.dilution_length, F.call_function("div", total * options.dilution_length, F.col("n")))
-        .otherwise(total)
-        .cast("int")
-        .alias("spam_score"),
-    )
+    """``(key, spam_score)`` like ``spam_score``, for dictionaries too large to be literals: by the automaton of ``phrases``."""
+    scored = phrase_sums(pages, dictionary, options.key, text)
+    n, raw = F.col("n"), F.col("raw")
+    diluted = F.when(n > options.dilution_length, F.call_function("div", raw * options.dilution_length, n)).otherwise(raw)
+    return scored.select(options.key, diluted.cast("int").alias("spam_score"))

@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import byte_length, content_signature
 from pagesieve.functions.urls import normalize_url
-from pagesieve.operators.dedup import survivors
+from pagesieve.operators.dedup import Seen, first_per_signature, new_signatures
 from pagesieve.operators.document import attach_enrichment, to_documents
 from pagesieve.operators.entities import extract_entities
 from pagesieve.operators.keyphrases import extract_keyphrases
-from pagesieve.operators.language import detect_language, gate_language, is_rejected_language
+from pagesieve.operators.language import LanguageModel, detect_language, gate_language, is_rejected_language
 from pagesieve.operators.spam import spam_score, spam_scores_by_join
 from pagesieve.schemas import PAGE_COLUMNS_READ, Options
-from pagesieve.session import cut_lineage
+from pagesieve.session import cut_lineage, within
+
+#: Narrow rows that meet whole pages by broadcast, at most; beyond, pages are shuffled.
+BROADCAST_ROWS = 500_000
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -58,11 +61,16 @@ def page_facts(pages: DataFrame, dictionary: Mapping[str, int] | DataFrame, opti
     return facts.join(scores, options.key, "left").withColumn("spam", F.coalesce("spam", F.lit(0)))
 
 
+def valid_pages(pages: DataFrame, options: Options = Options()) -> DataFrame:
+    """The pages that no gate rejects by what their own row says at little cost: a valid URL, a key and an order."""
+    return pages.where(normalize_url("url").isNotNull() & F.col(options.key).isNotNull() & F.col(options.order_by).isNotNull())
+
+
 def decide(
     pages: DataFrame,
     dictionary: Mapping[str, int] | DataFrame,
-    profile: DataFrame,
-    seen: DataFrame | None = None,
+    profile: DataFrame | LanguageModel,
+    seen: Seen | None = None,
     options: Options = Options(),
     materialize: bool = False,
 ) -> DataFrame:
@@ -70,16 +78,17 @@ def decide(
 
     Texts are read where they lie and never shuffled here: what travels to be joined on (order, key) are hashes, scores
     and lengths. With ``materialize`` these facts are written first, so that finding the first pages hashes no text again.
+    Pages that the URL alone rejects get no language: ``lang`` is unknown there.
     """
     on = [options.order_by, options.key]
     facts = page_facts(pages, dictionary, options)
     if materialize:
         facts = cut_lineage(facts)
     keyed = F.col(options.key).isNotNull() & F.col(options.order_by).isNotNull()
-    firsts = survivors(facts.where(F.col("norm_url").isNotNull() & keyed), seen, options).select(
-        *on, F.lit(True).alias("claims")
-    )
-    languages = detect_language(pages, profile, on, options)
+    firsts = first_per_signature(facts.where(F.col("norm_url").isNotNull() & keyed), options)
+    firsts = cut_lineage(firsts) if materialize and seen is not None and not isinstance(seen, DataFrame) else firsts
+    firsts = new_signatures(firsts, seen).select(*on, F.lit(True).alias("claims"))
+    languages = detect_language(valid_pages(pages, options), profile, on, options)
     return (
         facts.join(firsts, on, "left")
         .join(languages, on, "left")
@@ -121,10 +130,15 @@ def passed_gates(decisions: DataFrame, options: Options = Options()) -> DataFram
     )
 
 
-def with_page_columns(pages: DataFrame, narrow: DataFrame, options: Options = Options()) -> DataFrame:
-    """``narrow`` with the page columns: the join that moves whole pages, and only on their unique (order, key)."""
+def with_page_columns(pages: DataFrame, narrow: DataFrame, options: Options = Options(), few: bool = False) -> DataFrame:
+    """``narrow`` with the page columns: the join that moves whole pages, and only on their unique (order, key).
+
+    With ``few`` the narrow rows, counted to be so, are broadcast and no page moves. Else pages are shuffled, but for those whose own
+    row shows that they were rejected.
+    """
     on = [options.order_by, options.key]
-    return pages.select(*on, *PAGE_COLUMNS_READ).join(narrow, on)
+    page = [*on, *PAGE_COLUMNS_READ]
+    return pages.select(page).join(F.broadcast(narrow), on) if few else valid_pages(pages, options).select(page).join(narrow, on)
 
 
 def derive_enrichment(
@@ -147,28 +161,32 @@ def derive_enrichment(
 def curate(
     pages: DataFrame,
     dictionary: Mapping[str, int] | DataFrame,
-    profile: DataFrame,
-    seen: DataFrame | None = None,
+    profile: DataFrame | LanguageModel,
+    seen: Seen | None = None,
     enrichment: DataFrame | Enricher | None = None,
     options: Options = Options(),
     crawled_at: Column | None = None,
     materialize: bool = False,
+    observe: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Curated:
     """Run every gate and build the documents.
 
     ``enrichment`` is a finished table, a function from accepted pages to one, or None to derive it here. With
     ``materialize`` the decisions, and the accepted pages with their enrichment when it is derived from them, are written once for
-    all outputs, instead of each output reading and hashing the pages again.
+    all outputs, instead of each output reading and hashing the pages again. ``observe`` may attach an observation to the decisions
+    before they are written.
     """
     keep = cut_lineage if materialize else (lambda df: df)
-    decisions = keep(decide(pages, dictionary, profile, seen, options, materialize))
+    decisions = decide(pages, dictionary, profile, seen, options, materialize)
+    decisions = keep(observe(decisions) if observe else decisions)
     passed = passed_gates(decisions, options)
+    few = materialize and within(passed, BROADCAST_ROWS)
     if isinstance(enrichment, DataFrame):
         # results meet the narrow rows first, so that whole pages are shuffled once
         narrow = attach_enrichment(passed, enrichment, options, F.col("n_bytes") > 0)
-        enriched = with_page_columns(pages, narrow, options)
+        enriched = with_page_columns(pages, narrow, options, few)
     else:
-        accepted = keep(with_page_columns(pages, passed, options))
+        accepted = keep(with_page_columns(pages, passed, options, few))
         enrichment = keep(enrichment(accepted) if enrichment else derive_enrichment(accepted, options))
         enriched = attach_enrichment(accepted, enrichment, options)
     return Curated(

@@ -7,6 +7,7 @@ from pagesieve.operators.keyphrases import TOKEN
 from pagesieve.operators.metrics import SPAM_BUCKETS
 from pagesieve.registry.params import CRAWLED_AT, DICTIONARY, OPTIONS, STOP_WORDS
 from pagesieve.sources.adapters import HIDDEN_HTML
+from pagesieve.sources.dictionary import EXPLICIT_WEIGHTS
 
 
 def lit(value: str) -> str:
@@ -332,7 +333,7 @@ signed AS (
 firsts AS (
   SELECT arg_min(key, i) AS key FROM signed WHERE norm_url IS NOT NULL AND sig NOT IN (SELECT sig FROM store) GROUP BY sig),
 decisions AS (
-  SELECT signed.*, f.key IS NOT NULL AS claims, gated.lang, gated.rejected, spam.spam, strlen(signed.text) AS n_bytes,
+  SELECT signed.*, f.key IS NOT NULL AS claims, CASE WHEN norm_url IS NULL THEN 'unknown' ELSE gated.lang END AS lang, gated.rejected, spam.spam, strlen(signed.text) AS n_bytes,
     CASE WHEN norm_url IS NULL THEN 'invalid_url' WHEN NOT claims THEN 'duplicate' WHEN gated.rejected THEN 'non_english'
          WHEN signed.text <> '' AND spam >= {OPTIONS.spam_threshold} THEN 'high_spam' ELSE 'indexed' END AS outcome
   FROM signed LEFT JOIN firsts f ON signed.key = f.key JOIN gated ON signed.key = gated.key JOIN spam ON signed.key = spam.key)"""
@@ -390,6 +391,21 @@ _TO_DECISIONS = [PAGES, NORM_URLS, SPAM, PROFILE, DETECT, STORE, DECISIONS]
 _TO_DOCUMENTS = [*_TO_DECISIONS, LABEL_ENRICHMENT, links("internal", "internal_links"), links("external", "external_links"), DOCUMENTS]
 
 
+UNKEYED = f"""
+, keyed AS (SELECT *, i % 11 = 0 AS unkeyed FROM signed)
+, kept AS (SELECT arg_min(key, i) AS key FROM keyed WHERE norm_url IS NOT NULL AND NOT unkeyed GROUP BY sig)
+, decided AS (
+  SELECT k.key, CASE WHEN norm_url IS NULL OR unkeyed THEN 'unknown' ELSE gated.lang END AS lang, strlen(k.text) AS n_bytes,
+    CASE WHEN norm_url IS NULL THEN 'invalid_url' WHEN unkeyed THEN 'unkeyed' WHEN kept.key IS NULL THEN 'duplicate'
+         WHEN gated.rejected THEN 'non_english' WHEN k.text <> '' AND spam >= {OPTIONS.spam_threshold} THEN 'high_spam' ELSE 'indexed' END AS outcome
+  FROM keyed k LEFT JOIN kept ON kept.key = k.key JOIN gated ON gated.key = k.key JOIN spam ON spam.key = k.key)
+SELECT count(CASE WHEN outcome = 'indexed' THEN 1 END) AS pages_processed, count(CASE WHEN outcome = 'invalid_url' THEN 1 END) AS invalid_urls,
+  count(CASE WHEN outcome = 'unkeyed' THEN 1 END) AS unkeyed, count(CASE WHEN outcome = 'duplicate' THEN 1 END) AS duplicates,
+  count(CASE WHEN outcome = 'non_english' THEN 1 END) AS non_english, count(CASE WHEN outcome = 'high_spam' THEN 1 END) AS high_spam,
+  count(CASE WHEN outcome NOT IN ('invalid_url', 'unkeyed', 'duplicate') AND lang = 'unknown' AND n_bytes >= 20 THEN 1 END) AS detection_failures
+FROM decided"""
+
+
 def all_oracles() -> dict[str, str]:
     threshold = OPTIONS.spam_threshold
     bounds = [*SPAM_BUCKETS, None]
@@ -523,7 +539,7 @@ def all_oracles() -> dict[str, str]:
         "outcome_counts": query(_TO_DECISIONS, "SELECT outcome, count(*) AS pages FROM decisions GROUP BY outcome"),
         "run_counters": query(
             _TO_DECISIONS,
-            """SELECT count(CASE WHEN outcome = 'indexed' THEN 1 END) AS pages_processed,
+            """SELECT 0 AS unkeyed, count(CASE WHEN outcome = 'indexed' THEN 1 END) AS pages_processed,
               count(CASE WHEN outcome = 'invalid_url' THEN 1 END) AS invalid_urls,
               count(CASE WHEN outcome = 'duplicate' THEN 1 END) AS duplicates,
               count(CASE WHEN outcome = 'non_english' THEN 1 END) AS non_english,
@@ -582,5 +598,47 @@ enrichment AS (
         """SELECT count(*) AS documents_indexed, count(DISTINCT _id) AS distinct_ids FROM identified
         GROUP BY least(CAST(key AS BIGINT) * 3 // ((SELECT max(i) FROM recs) + 1), 2)""",
     )
-    found["stream_first_seen"] = query([PAGES], f"SELECT DISTINCT {signature('text')} AS sig FROM recs WHERE i % 50 <> 0")
+    found["stream_first_seen"] = query(
+        [PAGES], f"SELECT {signature('text')} AS sig, arg_min(key, i) AS key FROM recs WHERE i % 50 <> 0 GROUP BY sig"
+    )
+    found["run_counters_unkeyed"] = query(
+        [*[NO_STORE if cte is STORE else cte for cte in _TO_DECISIONS]], UNKEYED
+    )
+    found["stream_enrichment"] = query(
+        [PAGES],
+        """SELECT key, CASE WHEN text = '' THEN 'empty_text' WHEN l.doc_id IS NOT NULL AND i % 16 <= 10 THEN 'full' ELSE 'nlp_failed' END AS shape,
+          CASE WHEN text <> '' AND l.doc_id IS NOT NULL AND i % 16 <= 10 THEN CASE WHEN quality = 1 THEN 4 ELSE 1 END END AS n_keyphrases
+        FROM recs LEFT JOIN labels l ON l.doc_id = i""",
+    )
+    stops = ", ".join(map(lit, STOP_WORDS))
+    found["blank_texts"] = query(
+        [PAGES],
+        f"""SELECT key, CASE WHEN i % 4 IN (0, 2) OR text = '' THEN 'empty_text' ELSE 'full' END AS shape,
+          CASE WHEN i % 4 <> 3 THEN 0 END AS n_entities,
+          i % 4 = 3 AND len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({stops}))) > 0
+            AS has_keyphrases FROM recs""",
+    )
+    found["pages_from_files"] = query(
+        [PAGES], "SELECT url, canonical_url, title, load_time, is_secure, strlen(text) AS n_bytes, false AS undecodable FROM recs "
+        "UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, true FROM labels"
+    )
+    weights = ", ".join(f"({lit(p)}, {w})" for p, w in EXPLICIT_WEIGHTS.items())
+    found["dictionary_from_files"] = f"""
+    WITH given(phrase, weight) AS (VALUES {weights}), listed AS (
+      SELECT DISTINCT phrase FROM (SELECT regexp_extract(text, '^[^.\\n]*', 0) AS phrase FROM documents
+        UNION ALL SELECT upper(regexp_extract(text, '^[^.\\n]*', 0)) FROM documents UNION ALL SELECT phrase FROM given) WHERE phrase <> '')
+    SELECT lower(l.phrase) AS phrase, max(coalesce(weight, 1))::INTEGER AS weight FROM listed l LEFT JOIN given USING (phrase) GROUP BY 1"""
+    found["profile_by_batches"] = found["language_profile"]
+    found["frequencies_by_batches"] = found["word_frequencies"]
+    found["entities_by_anchors"] = found["entities"]
+    found["language_detect_rest"] = found["language_detect"]
+    found["stream_counters"] = query(
+        empty_store,
+        """SELECT least(i * 3 // ((SELECT max(i) FROM recs) + 1), 2) AS batch_id,
+          count(CASE WHEN outcome = 'indexed' THEN 1 END) AS pages_processed, count(CASE WHEN outcome = 'invalid_url' THEN 1 END) AS invalid_urls,
+          count(CASE WHEN outcome = 'duplicate' THEN 1 END) AS duplicates, count(CASE WHEN claims THEN 1 END) AS claims,
+          count(CASE WHEN outcome = 'indexed' AND text <> '' THEN 1 END) AS nlp_requests,
+          count(CASE WHEN outcome = 'indexed' AND text <> '' AND key NOT IN (SELECT key FROM enrichment) THEN 1 END) AS nlp_errors
+        FROM decisions GROUP BY 1""",
+    )
     return found

@@ -17,23 +17,29 @@ from pagesieve.operators.dedup import mark_duplicates, seen_signatures, survivor
 from pagesieve.operators.document import attach_enrichment, canonical_or_raw
 from pagesieve.operators.entities import extract_entities, format_entities
 from pagesieve.operators.keyphrases import extract_keyphrases, train_word_frequencies
-from pagesieve.operators.language import detect_language, gate_language, is_rejected_language, train_language_profile
+from pagesieve.operators import counts, entities, language
+from pagesieve.operators.language import (
+    count_trigrams, detect_language, gate_language, is_rejected_language, profile_from_counts, train_language_profile,
+)
 from pagesieve.operators.metrics import (
     enrichment_counters, outcome_counts, run_counters, sink_counters, spam_histogram,
 )
-from pagesieve.operators.spam import is_high_spam, matched_phrases, spam_raw, spam_score, spam_scores_by_join, dictionary_matches
+from pagesieve.operators.phrases import dictionary_matches
+from pagesieve.operators.spam import is_high_spam, matched_phrases, spam_raw, spam_score, spam_scores_by_join
 from pagesieve.operators.upsert import id_collisions, latest_per_id
 from pagesieve.plans.curate import Curated, curate, decide, derive_enrichment
 from pagesieve.registry.params import CRAWLED_AT, DICTIONARY, OPTIONS, STOP_WORDS
 from pagesieve.schemas import ENTITIES
-from pagesieve.session import shared_folder
+from pagesieve.session import cut_lineage, shared_folder
 from pagesieve.sinks.bulk import bulk_lines
-from pagesieve.sinks.tables import latest_documents
+from pagesieve.sinks.current import committed_counters, current_documents, read_committed
 from pagesieve.sources.adapters import pages_from_documents, pages_from_html
-from pagesieve.sources.dictionary import dictionary_table
+from pagesieve.sources.dictionary import EXPLICIT_WEIGHTS, dictionary_table, read_dictionary
 from pagesieve.sources.enrichment import align_batches
-from pagesieve.sources.pages import stream_pages_json
-from pagesieve.streaming.pipeline import CurationJob, first_seen
+from pagesieve.sources.pages import CORRUPT, read_pages_json, split_undecodable, stream_pages_json
+from pagesieve.streaming.enrich import enrich_in_time
+from pagesieve.streaming.first import first_seen, start_stateful
+from pagesieve.streaming.pipeline import CurationJob
 
 KEYS = ["ingest_order", "key"]
 
@@ -373,27 +379,130 @@ def _streamed(spark, sf_dir) -> str:
 
 
 def q_stream_upsert(spark, sf_dir):
-    latest = latest_documents(spark, f"{_streamed(spark, sf_dir)}/documents", OPTIONS)
+    """The current documents after three micro-batches, as the table of their buckets holds them."""
+    latest = current_documents(spark, _streamed(spark, sf_dir))
     return latest.select("_id", "key", "url", "title", "quality_score", "spam_score")
 
 
 def q_stream_sink_counters(spark, sf_dir):
-    written = spark.read.parquet(f"{_streamed(spark, sf_dir)}/documents")
+    written = read_committed(spark, _streamed(spark, sf_dir), "documents")
     return sink_counters(written).select(F.col("documents_indexed"), "distinct_ids")
 
 
+def q_stream_counters(spark, sf_dir):
+    """What each micro-batch observed while it wrote its tables."""
+    return committed_counters(spark, _streamed(spark, sf_dir)).select("batch_id", "pages_processed", "invalid_urls", "duplicates", "claims", "nlp_requests", "nlp_errors")
+
+
 def q_stream_first_seen(spark, sf_dir):
-    """The stateful stream in three micro-batches: one row per signature, whichever page brought it first."""
+    """The stateful stream in three micro-batches: the first page of every signature."""
     root, files = _arriving(spark, sf_dir)
-    query = (
-        first_seen(stream_pages_json(spark, f"{root}/in", OPTIONS, max_files_per_trigger=files))
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{root}/out")
+    firsts = first_seen(stream_pages_json(spark, f"{root}/in", OPTIONS, max_files_per_trigger=files), OPTIONS)
+    writer = firsts.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    start_stateful(spark, writer, f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("sig", "key")
+
+
+def q_stream_enrichment(spark, sf_dir):
+    """Pages and their results as two streams in three micro-batches; a result comes up to 15 seconds after its page, 10 are waited for.
+
+    A last page and a last result, long after, move the watermark past all limits and are left out.
+    """
+    root, begin = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}", F.lit(1_700_000_000)
+    arrived = F.timestamp_seconds(begin + F.col("ingest_order"))
+    pages = document_pages(spark, sf_dir).select("ingest_order", "key", arrived.alias("arrived"), (F.col("visible_text") != "").alias("has_text"))
+    late = F.timestamp_seconds(begin + F.col("key").cast("long") + F.col("key").cast("long") % 16)
+    results = label_enrichment(spark, sf_dir).withColumn("answered", late)
+    last = pages.agg(F.max("ingest_order")).first()[0] or 0
+    files = spark.sparkContext.defaultParallelism
+    after = F.timestamp_seconds(begin + last + 1_000_000)
+    for i in range(3):
+        for name, rows, order in (("pages", pages, F.col("ingest_order")), ("results", results, F.col("key").cast("long"))):
+            third = F.least(F.floor(order * 3 / (last + 1)), F.lit(2))
+            rows.where(third == i).repartition(files).write.mode("append").parquet(f"{root}/{name}")
+    end = spark.range(1)
+    end.select(F.lit(-1).cast("long").alias("ingest_order"), F.lit("-1").alias("key"), after.alias("arrived"), F.lit(True).alias("has_text")).write.mode("append").parquet(f"{root}/pages")
+    end.select(F.lit("-2").alias("key"), F.array().cast(ENTITIES).alias("entities"), F.array().cast("array<string>").alias("keyphrases"), after.alias("answered")).write.mode("append").parquet(f"{root}/results")
+
+    def stream(name: str, schema: T.StructType) -> DataFrame:
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{root}/{name}")
+
+    met = enrich_in_time(stream("pages", pages.schema), stream("results", results.schema), OPTIONS)
+    writer = met.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    start_stateful(spark, writer, f"{root}/out").awaitTermination()
+    found = spark.read.schema(met.schema).parquet(f"{root}/out").where("key <> '-1'")
+    return found.select("key", "shape", F.when(F.col("shape") == "full", F.size("keyphrases")).alias("n_keyphrases"))
+
+
+# --- further forms of the operators --------------------------------------------------------------------------------
+
+
+def q_run_counters_unkeyed(spark, sf_dir):
+    """The counters of a run in which every eleventh page has no key."""
+    pages = document_pages(spark, sf_dir).withColumn("key", F.when(F.col("ingest_order") % 11 != 0, F.col("key")))
+    return run_counters(decide(pages, DICTIONARY, language_profile(spark, sf_dir), None, OPTIONS), OPTIONS)
+
+
+def q_blank_texts(spark, sf_dir):
+    """Derived enrichment where three pages of four have an empty, blank or null text: empty arrays, not failures."""
+    kind, text = F.col("ingest_order") % 4, F.col("visible_text")
+    pages = document_pages(spark, sf_dir).withColumn("visible_text", F.when(kind == 0, "").when(kind == 1, " \t\n ").when(kind == 3, text))
+    enrichment = derive_enrichment(pages, OPTIONS, host_gazetteer(spark, sf_dir), STOP_WORDS)
+    return attach_enrichment(pages, enrichment, OPTIONS).select(
+        "key", "shape", F.when(kind != 3, F.size("entities")).alias("n_entities"), (F.size("keyphrases") > 0).alias("has_keyphrases")
     )
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("sig")
+
+
+def q_pages_from_files(spark, sf_dir):
+    """Page records read from JSON files, with one broken record for each label among them."""
+    folder = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    document_pages(spark, sf_dir).drop("key", "ingest_order").write.json(folder)
+    read_table(spark, sf_dir, "labels").select(F.concat(F.lit('{"url": '), F.col("doc_id").cast("string")).alias("value")).write.mode("append").text(folder)
+    good, bad = split_undecodable(cut_lineage(read_pages_json(spark, folder)))
+    facts = ["url", "canonical_url", "title", "load_time", "is_secure"]
+    read = good.select(*facts, byte_length("visible_text").alias("n_bytes"), F.lit(False).alias("undecodable"))
+    return read.unionByName(bad.select(F.col(CORRUPT).isNotNull().alias("undecodable")), allowMissingColumns=True)
+
+
+def q_dictionary_from_files(spark, sf_dir):
+    """A dictionary read from a file of phrases: the titles of the documents, in two spellings, and those with weights of their own."""
+    folder = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    titles = document_pages(spark, sf_dir).select(F.explode(F.array("title", F.upper("title"))).alias("value"))
+    given = dictionary_table(spark, EXPLICIT_WEIGHTS).select(F.col("phrase").alias("value"))
+    titles.union(given).write.text(folder)
+    return read_dictionary(spark, folder)
+
+
+def _by_batches(spark, sf_dir, count: Callable[[DataFrame], DataFrame], kind) -> DataFrame:
+    """What three batches of documents count, added up."""
+    path, documents = f"{shared_folder(spark)}/counts/{uuid.uuid4().hex}", spread(read_table(spark, sf_dir, "documents"))
+    for i in range(3):
+        counts.append_counts(count(documents.where(F.col("doc_id") % 3 == i)), path, i)
+    return cut_lineage(counts.read_counts(spark, path, kind))
+
+
+def q_profile_by_batches(spark, sf_dir):
+    summed = _by_batches(spark, sf_dir, count_trigrams, counts.TRIGRAMS)
+    return profile_from_counts(summed).withColumn("logp", F.round("logp", 6))
+
+
+def q_frequencies_by_batches(spark, sf_dir):
+    count = lambda docs: train_word_frequencies(docs, "text", STOP_WORDS)
+    return _by_batches(spark, sf_dir, count, counts.WORDS)
+
+
+def q_entities_by_anchors(spark, sf_dir):
+    """Entities with names that are not broadcast: words of the texts meet the names anchored at them."""
+    found = entities.extract_entities(document_pages(spark, sf_dir), host_gazetteer(spark, sf_dir), broadcast_bytes=0)
+    return found.select("key", F.array_join(format_entities("entities"), " | ").alias("entities"))
+
+
+def q_language_detect_rest(spark, sf_dir):
+    """Detection by a profile of which 40,000 bytes are broadcast; all other trigrams meet the rest of it by a join."""
+    pages = document_pages(spark, sf_dir)
+    few = pages.where(byte_length("visible_text") >= OPTIONS.min_detect_bytes)
+    scores = language.language_scores(few, language.prepare_profile(language_profile(spark, sf_dir), broadcast_bytes=40_000), KEYS)
+    return pages.select(*KEYS).join(scores, KEYS, "left").select("key", "detected", F.round("en_conf", 6).alias("en_conf"))
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

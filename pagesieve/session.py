@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where ``cut_lineage`` writes inside ``intermediates_in``.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
 
 def local_session(app: str = "pagesieve", cores: str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster, pass in your own."""
@@ -47,11 +53,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     It survives the loss of executors like a reliable checkpoint, and its readers take only the columns they need.
     """
-    path = f"{shared_folder(df.sparkSession)}/pagesieve/{uuid.uuid4().hex}"
+    path = f"{_FOLDER.get() or shared_folder(df.sparkSession) + '/pagesieve'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates_in(folder: str) -> Iterator[None]:
+    """Inside, ``cut_lineage`` writes below ``folder``, so that whoever owns the folder can remove what is no longer needed."""
+    before = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(before)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of ours, in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def within(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows: a distributed count, which gathers no rows in one task."""
     return df.count() <= max_rows

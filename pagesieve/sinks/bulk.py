@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,19 @@ def document_line() -> Column:
     return F.to_json(fields, {"ignoreNullFields": "false", "timeZone": "UTC"})
 
 
-def bulk_lines(documents: DataFrame, options: Options = Options()) -> DataFrame:
-    """One ``value`` per document holding both lines, so that no split can part them."""
-    return documents.select(F.concat(action_line(options.index_name), F.lit("\n"), document_line()).alias("value"))
+def bulk_lines(documents: DataFrame, options: Options = Options(), *beside: Column) -> DataFrame:
+    """One ``value`` per document holding both lines, so that no split can part them, after the columns ``beside``."""
+    return documents.select(*beside, F.concat(action_line(options.index_name), F.lit("\n"), document_line()).alias("value"))
 
 
 def write_bulk(
-    documents: DataFrame, path: str, options: Options = Options(), documents_per_file: int = 0, compression: str | None = None
+    documents: DataFrame, path: str, options: Options = Options(), documents_per_file: int = 0, compression: str | None = None,
+    observe: Callable[[DataFrame], DataFrame] = lambda lines: lines,
 ) -> None:
-    """Write the latest document per id as bulk files of at most ``documents_per_file`` documents (0: no limit)."""
-    writer = bulk_lines(latest_per_id(documents, options), options).write.mode("overwrite")
+    """Write the latest document per id as bulk files of at most ``documents_per_file`` documents (0: no limit).
+
+    ``observe`` may attach an observation to the lines.
+    """
+    writer = observe(bulk_lines(latest_per_id(documents, options), options)).write.mode("overwrite")
     writer = writer.option("maxRecordsPerFile", documents_per_file)
     (writer.option("compression", compression) if compression else writer).text(path)

@@ -50,17 +50,30 @@ def append_signature_table(new: DataFrame, table: str, batch_id: int, buckets: i
     spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (batch_id = {batch_id:d}) SELECT sig, key FROM {{rows}}", rows=rows)
 
 
+def _merged(stored: DataFrame, before: int) -> DataFrame:
+    """Each signature of the batches before ``before`` once, with the key that claimed it first."""
+    first = F.min(F.struct("batch_id", "key")).alias("first")
+    return stored.where(F.col("batch_id") < before).groupBy("sig").agg(first).select("sig", "first.key")
+
+
+def compact_signature_table(spark: SparkSession, table: str, target: str, before: int, buckets: int) -> None:
+    """Copy a catalog table to ``target`` with the batches before ``before`` merged into one partition: a file for each bucket.
+
+    Only merge batches that will not be replayed; point the next run at ``target``.
+    """
+    stored = read_signature_table(spark, table)
+    append_signature_table(_merged(stored, before), target, before - 1, buckets)
+    later = stored.where(F.col("batch_id") >= before)
+    for row in later.select("batch_id").distinct().orderBy("batch_id").collect():  # the few batches since
+        append_signature_table(later.where(F.col("batch_id") == row.batch_id), target, row.batch_id, buckets)
+
+
 def compact_signatures(spark: SparkSession, path: str, target: str, before: int) -> None:
     """Copy the store to ``target`` with the batches before ``before`` merged into one folder, each signature once.
 
     Only merge batches that will not be replayed; point the next run at ``target``.
     """
     stored = read_signatures(spark, path)
-    merged = (
-        stored.where(F.col("batch_id") < before)
-        .groupBy("sig")
-        .agg(F.min(F.struct("batch_id", "key")).alias("first"))
-        .select("sig", "first.key")
-    )
+    merged = _merged(stored, before)
     append_signatures(merged, target, before - 1)
     stored.where(F.col("batch_id") >= before).write.mode("append").partitionBy("batch_id").parquet(target)

@@ -120,7 +120,7 @@ def test_long_runs_need_no_stack(spark):
 
 @pytest.mark.parametrize("broadcast_names", [10**6, 0])
 def test_gazetteer(spark, monkeypatch, broadcast_names):
-    monkeypatch.setattr(entities_module, "_BROADCAST_NAMES", broadcast_names)
+    monkeypatch.setattr(entities_module, "_BROADCAST_BYTES", broadcast_names)
     docs = spark.createDataFrame(
         [("a", "In new  York, york and New-York City; then YORK"), ("b", "nothing"), ("c", None)], "key string, visible_text string"
     )

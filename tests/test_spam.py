@@ -90,8 +90,8 @@ def test_long_text(spark):
     assert [r.s for r in df.select(spam_raw("visible_text", words).alias("s")).collect()] == [2, 1]
 
 
-def test_join_looks_phrases_up_by_length_class(spark, monkeypatch):
-    from pagesieve.operators import spam
+def test_automata_of_one_and_of_many_shards(spark, monkeypatch):
+    from pagesieve.operators import phrases
 
     rnd = random.Random(5)
     base = "".join(rnd.choice("abc d") for _ in range(300))
@@ -100,9 +100,23 @@ def test_join_looks_phrases_up_by_length_class(spark, monkeypatch):
     texts = [base, base[50:120].upper(), base[:12], "", None]
     df = texts_df(spark, texts)
     expected = {(str(i), p) for i, t in enumerate(texts) for p in words if p in (t or "").lower()}
-    for limit in (spam._BROADCAST_BYTES, 0):  # broadcast, and salted
-        monkeypatch.setattr(spam, "_BROADCAST_BYTES", limit)
+    sums = {str(i): sum(p in (t or "").lower() for p in words) for i, t in enumerate(texts)}
+    for limit in (phrases.SHARD_BYTES, 700):  # one shard, and characters cut by hash
+        monkeypatch.setattr(phrases, "SHARD_BYTES", limit)
+        assert {r.key: r.spam_score for r in spam_scores_by_join(df, dictionary_table(spark, words)).collect()} == sums
         found = dictionary_matches(df, dictionary_table(spark, words)).collect()
         assert len(found) == len(expected) and {(r.key, r.phrase) for r in found} == expected
     nobody = spark.createDataFrame([(None, "a b")], "key string, visible_text string")
     assert dictionary_matches(nobody, dictionary_table(spark, words)).count() == 0
+
+
+def test_a_hundred_thousand_phrases_move_no_text(spark):
+    words = {f"phrase {i} of many": 1 + i % 3 for i in range(100_000)}
+    texts = [" / ".join(f"Phrase {i} of many" for i in range(k, 100_000, 9_973)) for k in range(40)]
+    df, table = texts_df(spark, texts), dictionary_table(spark, words).repartition(8)
+    scored = spam_scores_by_join(df, table)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    expected = [sum(w for p, w in ((f"phrase {i} of many", 1 + i % 3) for i in range(100_000)) if p in t.lower()) for t in texts[:3]]
+    got = {r.key: r.spam_score for r in scored.collect()}
+    assert [got[str(i)] for i in range(3)] == expected
+    assert dictionary_matches(df, table).count() == sum(len(t.split(" / ")) for t in texts)

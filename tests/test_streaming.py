@@ -6,21 +6,25 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from pagesieve.operators.metrics import spam_histogram
 from pagesieve.plans.curate import curate
 from pagesieve.registry.params import DICTIONARY, OPTIONS
 from pagesieve.registry.queries import document_pages, label_enrichment, language_profile
 from pagesieve.schemas import ENRICHMENT, PAGE
 from pagesieve.session import shared_folder
+from pagesieve.sinks.current import committed_counters, committed_spam_scores, current_documents
 from pagesieve.sinks.tables import latest_documents, rejected_table
 from pagesieve.sources.dictionary import dictionary_table
 from pagesieve.sources.enrichment import align_batches
+from pagesieve.sources.membership import SignatureStore
 from pagesieve.sources.pages import (
     assign_arrival, pages_from_kafka, read_pages_json, read_pages_parquet, split_undecodable, stream_pages_json,
 )
 from pagesieve.sources.signatures import (
-    append_signature_table, append_signatures, compact_signatures, read_signature_table, read_signatures,
+    append_signature_table, append_signatures, compact_signature_table, compact_signatures, read_signature_table, read_signatures,
 )
-from pagesieve.streaming.pipeline import CurationJob, first_seen
+from pagesieve.streaming.first import first_seen, start_stateful
+from pagesieve.streaming.pipeline import CurationJob
 
 RECORD = {
     "url": "https://example.com", "headings": {"h1": ["Main"]}, "internal_links": ["/about"], "open_graph": {"og:title": "t"},
@@ -83,6 +87,19 @@ def test_compacted_store(spark, tmp_path):
     assert rows == [("a", "k0", 1), ("b", "k0", 1), ("c", "k1", 1), ("d", "k2", 2)]
 
 
+def test_compacted_table(spark):
+    table = f"signatures_{uuid.uuid4().hex}"
+    try:
+        for batch, sigs in enumerate([["a", "b"], ["b", "c"], ["d"]]):
+            append_signature_table(spark.createDataFrame([(s, f"k{batch}") for s in sigs], "sig string, key string"), table, batch, buckets=4)
+        compact_signature_table(spark, table, f"{table}_2", before=2, buckets=4)
+        rows = sorted(tuple(r) for r in read_signature_table(spark, f"{table}_2").select("sig", "key", "batch_id").collect())
+        assert rows == [("a", "k0", 1), ("b", "k0", 1), ("c", "k1", 1), ("d", "k2", 2)]
+    finally:
+        for name in (table, f"{table}_2"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_bucketed_store_is_not_shuffled(spark, tmp_path):
     table = f"signatures_{uuid.uuid4().hex}"
     spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -121,28 +138,33 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path, job_par
 
     def view():
         documents = spark.read.parquet(f"{job.root}/documents")
-        signatures = read_signatures(spark, f"{job.root}/signatures")
+        signatures = SignatureStore(spark, f"{job.root}/signatures").read()
         return (
             sorted(r.key for r in documents.select("key").collect()),
             sorted((r.key, r.outcome) for r in rejected_table(spark, f"{job.root}/rejected").collect()),
             sorted((r.sig, r.key) for r in signatures.collect()),
-            sorted(r._id for r in latest_documents(spark, f"{job.root}/documents", OPTIONS).collect()),
+            sorted((r._id, r.key) for r in latest_documents(spark, f"{job.root}/documents", OPTIONS).collect()),
+            sorted((r._id, r.key) for r in current_documents(spark, job.root).collect()),
         )
 
-    counted = spark.read.parquet(f"{job.root}/metrics/outcomes").agg(F.sum("pages_processed"), F.sum("duplicates")).first()
+    counted = committed_counters(spark, job.root)
     outcomes = [r.outcome for r in batch.decisions.collect()]
-    assert tuple(counted) == (outcomes.count("indexed"), outcomes.count("duplicate"))
-    asked = spark.read.parquet(f"{job.root}/metrics/enrichment").agg(F.sum("nlp_requests")).first()[0]
-    assert asked == batch.documents.where("visible_text <> ''").count()
-    scored = spark.read.parquet(f"{job.root}/metrics/spam_scores").where("bound = double('infinity')")
-    assert scored.agg(F.sum("pages")).first()[0] == outcomes.count("indexed")
-    sink = spark.read.parquet(f"{job.root}/metrics/sink").agg(F.sum("bulk_bytes"), F.min("bulk_files"), F.sum("documents")).first()
+    total = counted.agg(*[F.sum(c).alias(c) for c in counted.columns if c != "batch_id"]).first()
+    assert (total.pages_processed, total.duplicates, total.invalid_urls) == tuple(map(outcomes.count, ("indexed", "duplicate", "invalid_url")))
+    assert total.claims == batch.new_signatures.count()
+    shapes = [r["shape"] for r in batch.documents.select("shape").collect()]
+    assert (total.nlp_requests, total.nlp_errors) == (len(shapes) - shapes.count("empty_text"), shapes.count("nlp_failed"))
+    scored = committed_spam_scores(spark, job.root).groupBy("bound").agg(F.sum("pages").alias("pages"), F.sum("score_sum").alias("sum"))
+    direct = spam_histogram(batch.decisions.where("outcome = 'indexed'"), "spam")
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, direct.select("bound", "pages", "score_sum").collect()))
     files = list((tmp_path / "out" / "bulk").glob("batch_id=*/part-*"))
     lines = sum(len(f.read_text().splitlines()) for f in files)
-    assert (sink[0], sink[2]) == (sum(f.stat().st_size for f in files), lines // 2) and sink[1] >= 1
+    assert (total.bulk_bytes, total.documents, total.bulk_files) == (sum(f.stat().st_size for f in files), lines // 2, len(files))
+    assert not list((tmp_path / "out" / "scratch").glob("*"))  # what batches work with goes when they are committed
 
     streamed = view()
-    assert signature_batches(spark, job) == {0, 1, 2}
+    assert [(r.first, r.last) for r in sorted(SignatureStore(spark, f"{job.root}/signatures").runs())] == [(0, 0), (1, 1), (2, 2)]
+    assert streamed[3] == streamed[4]
     assert streamed[0] == sorted(r.key for r in batch.documents.collect())
     assert streamed[1] == sorted((r.key, r.outcome) for r in batch.rejected.collect())
     assert streamed[2] == sorted((r.sig, r.key) for r in batch.new_signatures.collect())
@@ -168,24 +190,15 @@ def test_a_job_keeps_its_signatures_in_a_bucketed_table(spark, tmp_path, job_par
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def signature_batches(spark, job):
-    return {r.batch_id for r in read_signatures(spark, f"{job.root}/signatures").select("batch_id").distinct().collect()}
-
-
 def test_stateful_first_seen(spark, tmp_path):
     records = [{**RECORD, "key": str(i), "ingest_order": i, "visible_text": text} for i, text in enumerate(["a", "b", " a", "c", "b"])]
     (tmp_path / "in").mkdir()
     for i, record in enumerate(records):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps(record) + "\n")
     stream = first_seen(stream_pages_json(spark, str(tmp_path / "in"), max_files_per_trigger=2))
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
-        .trigger(availableNow=True)
-        .start(str(tmp_path / "out"))
-    )
-    query.awaitTermination()
-    assert sorted(r.visible_text.strip() for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True)
+    start_stateful(spark, writer, str(tmp_path / "out")).awaitTermination()
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["0", "1", "3"]
 
 
 def test_records_without_key_or_order_are_indexed_and_counted(spark, tmp_path):
