@@ -50,13 +50,22 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
     return counts
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, first all their low bytes, then the next: the high ones are nearly all 0 and take no room when compressed."""
-    return numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+def planes(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers, first all their low bytes, then the next: the high ones are nearly all 0 and take no room when compressed."""
+    return numbers.astype(kind).view("u1").reshape(-1, np.dtype(kind).itemsize).T.tobytes()
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<u4").ravel()
+def from_planes(data: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def gaps(keys: np.ndarray) -> bytes:
+    """Rising keys as the steps between them: the more keys, the fewer bytes a step has."""
+    return planes(np.diff(keys, prepend=np.uint64(0)), "<u8")
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +107,9 @@ class Block:
         return np.concatenate([np.bincount(at, weights, n) for at, n in parts]).astype(np.int64)
 
     def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The order of the keys by bucket, and where each bucket begins and ends in it."""
-        bucket = ((self.keys >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64)
-        return np.argsort(bucket, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+        """The rising order of the keys, and where each bucket, a range of equal size, begins and ends in it."""
+        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        return np.argsort(self.keys, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
 
     def losses(self, n: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
         """Each document's sum of losses by a model whose counts of the keys are ``n``: bigram estimates, mixed with unigram
@@ -123,7 +132,7 @@ def ask(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 n, n_target = block.counts(), block.counts(np.repeat(np.array(row["targets"], float), block.sizes))
                 order, at = block.by_bucket(buckets)
                 parts = ((p, order[at[p] : at[p + 1]]) for p in range(buckets) if at[p] < at[p + 1])
-                rows = [(row["block"], p, block.keys[x].astype("<u8").tobytes(), packed(n[x]), packed(n_target[x])) for p, x in parts]
+                rows = [(row["block"], p, gaps(block.keys[x]), packed(n[x]), packed(n_target[x])) for p, x in parts]
                 yield rows_of(rows, ASKED)
 
     return run
@@ -134,7 +143,7 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answered(bucket: int, asked: list[tuple]) -> pa.RecordBatch:
         sizes = [len(keys) // 8 for _, keys, _, _ in asked]
-        keys, at = np.unique(np.concatenate([np.frombuffer(x[1], "<u8") for x in asked]), return_inverse=True)
+        keys, at = np.unique(np.concatenate([from_gaps(x[1]) for x in asked]), return_inverse=True)
         ends, counts = np.cumsum(sizes)[:-1], []
         for k in (2, 3):
             own = np.concatenate([unpacked(x[k], size) for x, size in zip(asked, sizes)])
