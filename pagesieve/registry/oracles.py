@@ -626,7 +626,7 @@ enrichment AS (
     found["dictionary_from_files"] = f"""
     WITH given(phrase, weight) AS (VALUES {weights}), listed AS (
       SELECT DISTINCT phrase FROM (SELECT regexp_extract(text, '^[^.\\n]*', 0) AS phrase FROM documents
-        UNION ALL SELECT upper(regexp_extract(text, '^[^.\\n]*', 0)) FROM documents UNION ALL SELECT phrase FROM given) WHERE phrase <> '')
+        UNION ALL SELECT lower(regexp_extract(text, '^[^.\\n]*', 0)) FROM documents UNION ALL SELECT phrase FROM given) WHERE phrase <> '')
     SELECT lower(l.phrase) AS phrase, max(coalesce(weight, 1))::INTEGER AS weight FROM listed l LEFT JOIN given USING (phrase) GROUP BY 1"""
     found["profile_by_batches"] = found["language_profile"]
     found["frequencies_by_batches"] = found["word_frequencies"]

@@ -465,9 +465,9 @@ def q_pages_from_files(spark, sf_dir):
 
 
 def q_dictionary_from_files(spark, sf_dir):
-    """A dictionary read from a file of phrases: the titles of the documents, in two spellings, and those with weights of their own."""
+    """A dictionary read from a file of phrases: the titles of the documents, some listed twice or in two spellings, and those with weights of their own."""
     folder = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
-    titles = document_pages(spark, sf_dir).select(F.explode(F.array("title", F.upper("title"))).alias("value"))
+    titles = document_pages(spark, sf_dir).select(F.explode(F.array("title", F.lower("title"), "title")).alias("value"))
     given = dictionary_table(spark, EXPLICIT_WEIGHTS).select(F.col("phrase").alias("value"))
     titles.union(given).write.text(folder)
     return read_dictionary(spark, folder)

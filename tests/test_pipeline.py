@@ -76,7 +76,7 @@ def test_gate_order(spark, profile):
     assert rejected["f"] == ("high_spam", "en", 4)
     counters = run_counters(run.decisions, options).first().asDict()
     assert counters == {
-        "pages_processed": 4, "invalid_urls": 1, "duplicates": 4, "non_english": 1, "high_spam": 1, "detection_failures": 0,
+        "pages_processed": 4, "invalid_urls": 1, "unkeyed": 0, "duplicates": 4, "non_english": 1, "high_spam": 1, "detection_failures": 0,
     }
 
 
