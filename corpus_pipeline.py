@@ -39,8 +39,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = cut_lineage(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    one = known.join(repeated, "doc_id", "left_semi").withColumn("_at", F.row_number().over(order)).where("_at = 1").select(*docs.columns)
+    # a row is carried as one value, so that columns may have any name and type; equal rows are alike whichever stays
+    rows = known.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = Window.partitionBy("doc_id").orderBy(F.to_json("row"))
+    one = rows.withColumn("at", F.row_number().over(order)).where("at = 1").select("row.*")
     return without(kept, repeated).union(one)
 
 

@@ -248,7 +248,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by its kind in angle brackets; all rows and columns stay.
 
-    Overlapping spans become one tag, that of the span that starts first. Null texts stay null. Needs only ``text``.
+    Overlapping spans become one tag, that of the span that starts first. Null texts stay null. Needs only ``text``; a row is carried as
+    one value, so other columns may have any name.
     """
     narrow = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     classifier = train(cut_lineage(find_candidates(narrow, "_text").drop("_text")))
@@ -256,15 +257,16 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, span: Column) -> Column:
-        gap = F.substring("text", state["at"] + 1, span["start"] - state["at"])
+        gap = F.substring("_text", state["at"] + 1, span["start"] - state["at"])
         tagged = F.concat(state["parts"], F.array(gap, F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))))
         new = span["start"] >= state["at"]
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(new, tagged).otherwise(state["parts"]).alias("parts"))
 
-    whole = F.array_join(F.concat("_done.parts", F.array(F.substring("text", F.col("_done.at") + 1, F.length("text")))), "")
-    found = find_candidates(docs.withColumn("text", F.col("text").cast("string")), "text")
-    found = found.withColumn("_spans", spans).withColumn("_done", F.aggregate("_spans", start, step))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
+    whole = F.array_join(F.concat("_done.parts", F.array(F.substring("_text", F.col("_done.at") + 1, F.length("_text")))), "")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
+    found = find_candidates(rows, "_text").withColumn("_spans", spans).withColumn("_done", F.aggregate("_spans", start, step))
+    text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("_text")).alias("text")
+    return found.select(*[text if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_digest(found: DataFrame) -> DataFrame:

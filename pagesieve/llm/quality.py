@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import CACHED_WORDS, mix, slices
+from pagesieve.llm.common import CACHED_WORDS, hashed_sample, mix, slices
 from pagesieve.session import cut_lineage
 
 #: Word vectors: words share this many rows by their hash, so that the table is of one size whatever the corpus.
@@ -225,7 +225,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     features = cut_lineage(docs.mapInArrow(pooled(table), "doc_id long, features binary"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    examples = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("features", "quality").collect()
+    examples = hashed_sample(features.join(known, "doc_id"), "doc_id", train_rows).orderBy(F.xxhash64("doc_id"), "doc_id").select("features", "quality").collect()
     x = np.array([np.frombuffer(bytes(r["features"]), np.float32) for r in examples], np.float32)
     network = fit_network(x, np.array([r["quality"] for r in examples], np.float64))
     result = features.mapInArrow(scored(network), "doc_id long, score double")

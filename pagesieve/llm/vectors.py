@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import connected_components
+from pagesieve.llm.common import connected_components, hashed_sample
 from pagesieve.session import cut_lineage
 
 #: Rows that the quantisers are fitted on, chosen by the hash of the id; every row is indexed.
@@ -216,7 +216,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     # One class of lists for each length of vector; there are few, and a corpus normally has one.
     index, reach = {}, float(np.sqrt(2 - 2 * least))
     for row in classes.groupBy("dims").agg(F.count("*").alias("n")).collect():
-        sample = classes.where(F.col("dims") == row["dims"]).orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).select("vector")
+        sample = hashed_sample(classes.where(F.col("dims") == row["dims"]), "rep", SAMPLE_ROWS, row["n"]).orderBy(F.xxhash64("rep")).select("vector")
         rows = unit_rows([bytes(r["vector"]) for r in sample.collect()])
         index[row["dims"]] = fit(rows, max(1, round(row["n"] ** 0.5 / 8)))
     entries = classes.select("rep", "label", "dims", "copies", "vector").mapInArrow(place(index, reach), ENTRY)
