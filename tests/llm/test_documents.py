@@ -159,6 +159,44 @@ def test_repeated_passages_are_found_and_others_are_not(spark):
     assert all(r.n_words >= 50 and r.similarity >= 0.8 for r in found)
 
 
+def test_passages_are_found_whose_values_have_hubs_with_parts_of_them_only(spark):
+    """Whole passages in two middle documents; the smallest and the largest ids that have their values hold fragments."""
+    texts, expected = {}, set()
+    for k in range(40):
+        passage, noise = made_up(1000 + k, 60), made_up(2000 + k, 600)
+        parts = (passage[:38], passage, passage, passage[22:])
+        for at, (doc_id, part) in enumerate(zip((k, 100 + 2 * k, 101 + 2 * k, 300 + k), parts)):
+            texts[doc_id] = " ".join(noise[150 * at : 150 * at + 75] + part + noise[150 * at + 75 : 150 * at + 150])
+        expected.add((100 + 2 * k, 101 + 2 * k))
+    found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.other_doc_id))) for r in found} == expected
+
+
+def edited(passage: list[str], kind: int) -> list[str]:
+    at = random.randrange(12, 45)
+    return [passage, [*passage[:at], "changed", *passage[at + 1 :]], [*passage[:at], "put", "in", *passage[at:]], passage[:at] + passage[at + 1 :]][kind]
+
+
+def test_recall_of_passages_against_all_pairs(spark):
+    """Edited passages in several documents each, among lines that most documents hold and fragments of the passages."""
+    random.seed(21)
+    lines, texts = [made_up(3000 + k, 12 + 9 * k) for k in range(3)], {}
+    families = [made_up(4000 + k, 60) for k in range(30)]
+    for k in range(240):
+        noise, passage = made_up(5000 + k, 160), families[k % 30]
+        held = edited(passage, random.randrange(4)) if k % 8 < 5 else passage[: random.randrange(25, 40)]
+        texts[k] = " ".join(noise[:40] + random.choice(lines) + noise[40:80] + held + random.choice(lines) + noise[80:])
+    hashes = common.WordHashes()
+    sets = {k: common.shingle_hashes(hashes.of([w.encode() for w in t.split()]), 5) for k, t in texts.items()}
+    pairs = {(a, b) for a, b in itertools.combinations(sets, 2) if len(np.intersect1d(sets[a], sets[b])) >= 36 and passages.common_passages(sets[b], sets[a])}
+    found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    links = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in found}
+    assert links <= pairs and len(pairs) > 100
+    reached, whole = components(texts, links), components(texts, pairs)
+    assert sum(reached[a] == reached[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(whole[a] == whole[b] for a, b in links)
+
+
 def test_passages_with_insertions_are_found_from_either_side():
     hashes, words = common.WordHashes(), [w.encode() for w in made_up(12, 400)]
     passage = words[:60]
