@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import CACHED_WORDS, few_ids, slices
+from pagesieve.llm.common import CACHED_WORDS, few_ids, hashed_sample, slices
 from pagesieve.llm.quality import TOKEN
 from pagesieve.session import cut_lineage
 
@@ -25,8 +25,8 @@ TRAIN_ROWS = 20_000
 LEAST_TEXTS, WEIGHED = 5, 1024
 FOLDS, STEPS, RATE, DECAY = 5, 300, 0.5, 1e-5
 
-#: The chain, in its order: any toxicity, then which kind, each as a condition on the labels.
-CATEGORIES = {"toxic": "toxic = 1", "toxic_prose": "toxic = 1 AND quality = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
+#: The chain, in its order: the kinds that the labels tell apart, then any toxicity, whose model knows what was found of each kind.
+CATEGORIES = {"toxic_prose": "toxic = 1 AND quality = 1", "toxic_junk": "toxic = 1 AND quality = 0", "toxic": "toxic = 1"}
 
 
 class Tokens(dict):
@@ -84,7 +84,7 @@ def sparse(texts: list[np.ndarray], vocabulary: np.ndarray) -> Sparse:
     return Sparse(at[known], rows[known], len(texts))
 
 
-def telling_tokens(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def telling_tokens(texts: list[np.ndarray], y: np.ndarray, weighed: int) -> np.ndarray:
     """Sorted tokens whose presence goes with any category: the largest chi-square statistics, over all categories."""
     vocabulary, at, counts = np.unique(np.concatenate([*texts, np.empty(0, np.int32)]), return_inverse=True, return_counts=True)
     at, rows = at.astype(np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
@@ -97,7 +97,7 @@ def telling_tokens(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
             spread = counts * share * (1 - share) * np.maximum(1 - counts / n, 1 / n)
             best = np.maximum(best, (having - expected) ** 2 / spread)
     best[counts < LEAST_TEXTS] = 0
-    top = np.argsort(-best, kind="stable")[:WEIGHED]
+    top = np.argsort(-best, kind="stable")[:weighed]
     return np.sort(vocabulary[top[best[top] > 0]])
 
 
@@ -136,7 +136,7 @@ def fit_linear(x: Sparse, chain: np.ndarray, y: np.ndarray, width: int) -> Linea
 class Chain:
     vocabulary: np.ndarray
     models: list[Linear]
-    threshold: float  # of the first category
+    threshold: float  # of the last category
 
     def probabilities(self, texts: list[np.ndarray]) -> np.ndarray:
         x = sparse(texts, self.vocabulary)
@@ -146,9 +146,9 @@ class Chain:
         return found
 
 
-def fit_chain(texts: list[np.ndarray], y: np.ndarray) -> Chain:
+def fit_chain(texts: list[np.ndarray], y: np.ndarray, weighed: int = WEIGHED) -> Chain:
     """``y``: a column per category. A later model learns from probabilities that earlier models gave to rows they had not seen."""
-    vocabulary = telling_tokens(texts, y)
+    vocabulary = telling_tokens(texts, y, weighed)
     x, fold = sparse(texts, vocabulary), np.arange(len(texts)) % FOLDS
     unseen, models = np.zeros(y.shape), []
     for k in range(y.shape[1]):
@@ -158,7 +158,7 @@ def fit_chain(texts: list[np.ndarray], y: np.ndarray) -> Chain:
             rest, part = fold != f, fold == f
             model = fit_linear(x.subset(rest), before[rest], y[rest, k], len(vocabulary))
             unseen[part, k] = model.probability(x.subset(part), before[part])
-    return Chain(vocabulary, models, best_threshold(unseen[:, 0], y[:, 0]))
+    return Chain(vocabulary, models, best_threshold(unseen[:, -1], y[:, -1]))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -187,14 +187,16 @@ def scored(chain: Chain, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, train_rows: int = TRAIN_ROWS, usable: Column | None = None
+    docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, train_rows: int = TRAIN_ROWS, usable: Column | None = None,
+    weighed: int = WEIGHED,
 ) -> DataFrame:
-    """``(doc_id, p_<category> for each category, toxic)`` for every row of ``docs``; ``toxic``: the first category
-    reaches the threshold that separates out-of-fold rows best.
+    """``(doc_id, p_<category> for each category, toxic)`` for every row of ``docs``; ``toxic``: the last category of the chain, which
+    learns from the probabilities of all others, reaches the threshold that separates out-of-fold rows best.
 
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` ``doc_id`` and the columns that ``categories`` (name to SQL condition, in the
     order of the chain) name; other columns are ignored. The chain is fitted on at most ``train_rows`` labelled texts for which
-    ``usable`` (a condition on doc_id; None: all) holds; copies of one text count once, with the mean of their labels. All rows are
+    ``usable`` (a condition on doc_id; None: all) holds; copies of one text count once, with the label that most of them have, 0 at a
+    tie. Its models have a weight for each of the ``weighed`` most telling tokens; whole texts are searched for these. All rows are
     scored where they lie; nothing of a text is shuffled except the training rows' token hashes.
 
     Null and empty texts have no tokens and get the score of the bias. Conditions that are null count as false; labels of a null
@@ -207,14 +209,14 @@ def score_toxicity(
     if usable is not None:
         known = known.where(usable)
     known = known.groupBy("doc_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(marks))])
-    known = cut_lineage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+    known = cut_lineage(hashed_sample(known, "doc_id", train_rows))
     tokens = docs.join(few_ids(known.select("doc_id")), "doc_id", "left_semi").mapInArrow(tokens_of, "doc_id long, digest binary, tokens binary")
     examples = tokens.join(F.broadcast(known), "doc_id").groupBy("digest").agg(
         F.min_by("tokens", "doc_id").alias("tokens"), *[F.avg(f"y{k}").alias(f"y{k}") for k in range(len(marks))]
     )
     rows = examples.orderBy("digest").collect()
     y = np.array([[round(r[f"y{k}"]) for k in range(len(marks))] for r in rows], float).reshape(len(rows), len(marks))
-    chain = fit_chain([np.frombuffer(bytes(r["tokens"]), np.int32) for r in rows], y)
+    chain = fit_chain([np.frombuffer(bytes(r["tokens"]), np.int32) for r in rows], y, weighed)
     names = [f"p_{name}" for name in categories]
     result = docs.mapInArrow(scored(chain, names), "doc_id long, " + ", ".join(f"{n} double" for n in names))
-    return result.withColumn("toxic", F.col(names[0]) >= chain.threshold)
+    return result.withColumn("toxic", F.col(names[-1]) >= chain.threshold)
