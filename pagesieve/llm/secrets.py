@@ -21,6 +21,8 @@ KINDS = ("assign", "access", "hex", "opaque")
 SPECIFIC_OWNERS = 2
 #: and so in at most so many repositories of them; a value in more was copied around by its own owners.
 SPECIFIC_REPOSITORIES = 10
+#: Values with more than one in so many of all candidates are joined by broadcast; there are fewer than this.
+HOT_PART = 10_000
 #: A live-looking value has so many bits of entropy per character at least, and so many different characters.
 LIVE_BITS, LIVE_CHARACTERS = 3.0, 8
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|x{6,}|(.)\1{5,}|0123456|abcdef"
@@ -63,14 +65,30 @@ def find_candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """``(value_hash, owners, repositories)``: in how many distinct places of either kind each value occurs.
+    """``(value_hash, owners, repositories, n)``: in how many distinct places of either kind each value occurs, and how often.
 
     Three group-bys, each with a partial step before its shuffle: a value that a third of all rows hold is one row per task and
     repository, then one per owner. A repository counts per owner.
     """
     places = candidates.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
-    per_owner = places.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"))
-    return per_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    per_owner = places.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return per_owner.groupBy("value_hash").agg(
+        F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n")
+    )
+
+
+def with_ownership(candidates: DataFrame) -> DataFrame:
+    """``candidates`` (a written table) with ``owners`` and ``repositories`` of their values.
+
+    Values with more than one in ``HOT_PART`` of all candidates, so fewer than ``HOT_PART`` of them, are broadcast and their candidates
+    stay where they lie; the others meet theirs by a join in which no value has a larger share than that.
+    """
+    counted = cut_lineage(ownership(candidates))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("n") * HOT_PART > total
+    hot = F.broadcast(counted.where(often).drop("n"))
+    rest = candidates.join(hot, "value_hash", "left_anti").join(counted.where(~often).drop("n"), "value_hash")
+    return candidates.join(hot, "value_hash").unionByName(rest)
 
 
 def scan_secrets(docs: DataFrame, owner: str = "source", repository: str | None = None) -> DataFrame:
@@ -94,10 +112,11 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str | None
     # A row's own number, fixed by writing the table: doc_id may repeat.
     found = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
     one = found.select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
-    one = one.withColumn("value_hash", F.xxhash64("value"))
-    held = one.join(ownership(one), "value_hash")
+    # The value is judged where it lies; only its hash is shuffled.
+    one = cut_lineage(one.withColumn("value_hash", F.xxhash64("value")).withColumn("looks_live", live_looking(F.col("value"))).drop("value"))
+    held = with_ownership(one)
     specific = (F.col("owners") <= SPECIFIC_OWNERS) & (F.col("repositories") <= SPECIFIC_REPOSITORIES)
-    verdict = F.when(~live_looking(F.col("value")), "weak").when(specific, "live").otherwise("copied")
+    verdict = F.when(~F.col("looks_live"), "weak").when(specific, "live").otherwise("copied")
     judged = held.withColumn("verdict", verdict).where("kind <> 'opaque' OR verdict = 'live'")
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "owners", "repositories", "verdict"))).alias("spans"))
     merged = found.select("row", "doc_id").join(spans, "row", "left")
