@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,9 @@ from pagesieve.llm.common import slices, texts_of
 WINDOW_WORDS = 13
 #: A document is contaminated when at least one word in this many is hit.
 CONTAMINATED_PART = 20
-#: Benchmark text that is held at a time, in the driver and in each task; a larger benchmark is searched block by block.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text that is searched at a time, as arrays of some 60 bytes for each word in the driver and in each task, beside the
+#: dictionary of its distinct words; a larger benchmark is searched block by block.
+BLOCK_BYTES = 16 << 20
 
 #: Lower-cases A-Z and turns every byte that is no part of a word into a space.
 FOLD = bytes(
@@ -40,23 +42,56 @@ class Tests:
     tokens: np.ndarray  # all items, each followed by a 0
     starts: np.ndarray  # of the distinct windows, in tokens
     lengths: np.ndarray
-    owners: list[list[tuple[int, int]]]  # (item, position in it) of each distinct window
+    first_owner: np.ndarray  # of each distinct window, and behind the last one the number of owners
+    owner_items: np.ndarray
+    owner_places: np.ndarray  # in their items
 
+    def owners(self, window: int) -> Iterator[tuple[int, int]]:
+        """(item, position in it) of a distinct window."""
+        own = slice(self.first_owner[window], self.first_owner[window + 1])
+        return zip(self.owner_items[own].tolist(), self.owner_places[own].tolist())
 
-def prepare(items: list[tuple[int, bytes]]) -> Tests:
+
+def window_numbers(tokens: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A number for each position: equal where the next 13 words are, or all that the item has ``left``, if these are fewer."""
+
+    def joined(first: np.ndarray, rest: np.ndarray, far: int) -> np.ndarray:
+        following, inside = np.zeros(len(rest), np.int64), np.flatnonzero(left > far)
+        following[inside] = rest[inside + far]
+        following += first * (int(following.max(initial=0)) + 1)
+        return np.unique(following, return_inverse=True)[1] + 1
+
+    part, whole, covered, size = tokens.astype(np.int64), tokens.astype(np.int64), 1, 1
+    while 2 * size <= WINDOW_WORDS:
+        part, size = joined(part, part, size), 2 * size
+        if WINDOW_WORDS - 1 & size:
+            whole, covered = joined(whole, part, covered), covered + size
+    return whole
+
+
+def prepare(items: Iterable[tuple[int, bytes]]) -> Tests:
     """Number the words; a window is 13 consecutive words of an item, or the whole of a shorter one; none of an empty one."""
     vocabulary: dict[bytes, int] = {}
-    tokens: list[int] = []
-    windows: dict[tuple[int, ...], tuple[int, list[tuple[int, int]]]] = {}
+    numbers, ids, counts = array("i"), array("q"), array("q")
     for item, text in items:
-        numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        width = min(WINDOW_WORDS, len(numbers))
-        for k in range(len(numbers) - width + 1 if numbers else 0):
-            windows.setdefault(tuple(numbers[k : k + width]), (len(tokens) + k, []))[1].append((item, k))
-        tokens += numbers + [0]
+        words = words_of(text)
+        numbers.extend(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words)
+        numbers.append(0)
+        ids.append(item)
+        counts.append(len(words))
+    tokens, sizes = np.array(numbers, np.int32), np.array(counts, np.int64)
+    item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    place = np.arange(len(tokens)) - (np.cumsum(sizes + 1) - sizes - 1)[item]
+    left = sizes[item] - place
+    windows = np.flatnonzero((left >= WINDOW_WORDS) | ((place == 0) & (left > 0)))
+    number = window_numbers(tokens, left)[windows]
+    order = np.argsort(number, kind="stable")
+    windows, number = windows[order], number[order]
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+    starts = windows[first]
     return Tests(
-        vocabulary, np.array(tokens, np.int32), np.array([start for start, _ in windows.values()], np.int64),
-        np.array([len(w) for w in windows], np.int64), [owners for _, owners in windows.values()],
+        vocabulary, tokens, starts, np.minimum(left[starts], WINDOW_WORDS), np.append(first, len(windows)),
+        np.array(ids, np.int64)[item[windows]], place[windows].astype(np.int32),
     )
 
 
@@ -161,7 +196,7 @@ def scan(tests: Tests, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 at, which = position[cuts[k] : cuts[k + 1]] - bounds[k], window[cuts[k] : cuts[k + 1]]
                 hits.append(merged(at, at + tests.lengths[which]))
                 matches.append(longest([
-                    (item, where, p, int(tests.lengths[w])) for p, w in zip(at.tolist(), which.tolist()) for item, where in tests.owners[w]
+                    (item, where, p, int(tests.lengths[w])) for p, w in zip(at.tolist(), which.tolist()) for item, where in tests.owners(w)
                 ]))
             if not first:
                 for k, (old_hits, old_matches) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("matches").to_pylist())):
@@ -202,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        tests = prepare([(row["item_id"], row["text"].encode()) for row in block.orderBy("item_id", "text").toLocalIterator()])
+        tests = prepare((row["item_id"], row["text"].encode()) for row in block.orderBy("item_id", "text").toLocalIterator())
         found = found.mapInArrow(scan(tests, k == 0), f"doc_id long, text string, n_words long, {STATE}")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, h: total + h["end"] - h["start"])
     found = found.select(
