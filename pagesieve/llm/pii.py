@@ -16,11 +16,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: The method's own kinds: local phone numbers, social-security-like numbers, bank accounts, written-out addresses.
+#: The method's own kinds: local phone numbers, social-security-like numbers, bank accounts, written-out addresses (of any number of
+#: domain labels; 64 and 63 characters are the most that a mailbox name and a label can have).
 LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])"
-SPELT_EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{2,63}\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z]{2,24}"
+SPELT_EMAIL = (
+    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{2,63}"
+    r"(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]{2,63})*\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z]{2,24}"
+)
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("local_phone", "national_id", "account", "spelt_email")
 
