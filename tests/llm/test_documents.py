@@ -97,6 +97,27 @@ def test_decontamination_matches_brute_force_in_one_block_and_in_many(spark):
     assert (1, 5, 60, 25) in longest
 
 
+def test_windows_of_items_against_their_definition():
+    random.seed(15)
+    vocabulary = ["a", "b", "c"]
+    texts = [" ".join(random.choice(vocabulary) for _ in range(n)) for n in [0, 1, 1, 2, 2, 3, 3, 12, 13, 14, 30, 200] * 3]
+    texts += ["a b c", "a b c a b c a b c a b c a", "a b c", " ".join("abc" * 12)]
+    items = [(7 * k, t.encode()) for k, t in enumerate(texts)]
+    expected = {}
+    for item, text in items:
+        w = text.split()
+        for k in range(max(len(w) - 12, 1) if w else 0):
+            expected.setdefault(tuple(w[k : k + 13]), set()).add((item, k))
+    tests = decontaminate.prepare(iter(items))
+    words = {n: w for w, n in tests.vocabulary.items()}
+    found = {}
+    for k, (start, length) in enumerate(zip(tests.starts, tests.lengths)):
+        found[tuple(words[n] for n in tests.tokens[start : start + length])] = set(tests.owners(k))
+    assert found == expected and len(tests.starts) == len(expected)
+    for none in ([], [(1, b"")]):
+        assert len(decontaminate.prepare(none).starts) == 0
+
+
 def test_packing_is_an_exact_round_trip(spark):
     random.seed(4)
     rows = [(k, " ".join(made_up(k, random.randint(0, 400))) or None, f"s{k % 7 if k % 3 else 0}", "en") for k in range(120)]
@@ -300,6 +321,68 @@ def test_the_whole_value_decides_whether_it_looks_live(spark):
     assert {r.doc_id: r.n_live for r in secret_scan.scan_secrets(docs).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
 
 
+@pytest.mark.parametrize("hot_part", [10_000, 40])
+def test_verdicts_against_counted_places(spark, monkeypatch, hot_part):
+    """Some values in many rows and owners, with those of a fortieth of all candidates broadcast, and with none."""
+    monkeypatch.setattr(secret_scan, "HOT_PART", hot_part)
+    random.seed(16)
+    letters = "BCDGHJKLMNPQRSTVWZbcdghjkmnqrstvwz"
+    values = ["7" + "".join(random.choice(letters) for _ in range(19)) for _ in range(60)] + ["password", "changeme99"]
+    rows = []
+    for k in range(400):
+        held = [values[int(60 * random.random() ** 3)] if random.random() < 0.9 else random.choice(values[60:]) for _ in range(random.randrange(4))]
+        rows.append((k, " ".join(f"n{random.randrange(9)} token={v}" for v in held), random.choice("abcd") if k % 3 else "hot", None))
+    rows += [(400, None, "a", None), (401, "", None, None)]
+    places, expected = {}, {}
+    for _, text, owner, _ in rows:
+        for v in re.findall(r"token=(\w+)", text or ""):
+            places.setdefault(v, set()).add((owner, text))
+    for doc_id, text, _, _ in rows:
+        expected[doc_id] = []
+        for m in re.finditer(r"token=(\w+)", text or ""):
+            owners, repositories = len({o for o, _ in places[m[1]]}), len(places[m[1]])
+            verdict = "weak" if m[1] in values[60:] else "live" if owners <= 2 and repositories <= 10 else "copied"
+            expected[doc_id].append((m.start(), m.end(), owners, repositories, verdict))
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: [(s.start, s.end, s.owners, s.repositories, s.verdict) for s in r.spans] for r in found} == expected
+    assert {v for spans in expected.values() for *_, v in spans} == {"weak", "live", "copied"}
+
+
+def test_reliabilities_are_estimated_as_by_a_plain_version_and_near_the_truth(spark):
+    random = np.random.default_rng(17)
+    truth = random.random(40_000) < 0.6
+    given = {True: [(0.05, 0.15, 0.8), (0.1, 0.3, 0.6), (0.1, 0.4, 0.5), (0.05, 0.05, 0.9), (0.2, 0.1, 0.7)]}
+    given[False] = [(0.7, 0.2, 0.1), (0.6, 0.3, 0.1), (0.5, 0.45, 0.05), (0.8, 0.05, 0.15), (0.6, 0.3, 0.1)]
+    votes = np.stack([np.where(truth, *(random.choice([-1, 0, 1], len(truth), p=given[t][k]) for t in (True, False))) for k in range(5)], axis=1)
+    cells = Counter(map(tuple, votes.tolist()))
+    table = spark.createDataFrame([(*v, n) for v, n in cells.items()], ", ".join(f"{c} int" for c in pii.LABELERS) + ", n long")
+    found = pii.estimate_reliabilities(table)
+    patterns, n = np.array(list(cells)), np.array(list(cells.values()), float)
+    start = (0.3 * 0.7, 0.3, 0.7 * 0.7)
+    prior, rates = 0.5, {True: [start] * 5, False: [start[::-1]] * 5}
+    for _ in range(pii.ROUNDS):
+        odds = np.log(prior / (1 - prior)) + sum(
+            np.log(np.array(rates[True][k])[patterns[:, k] + 1] / np.array(rates[False][k])[patterns[:, k] + 1]) for k in range(5)
+        )
+        p = 1 / (1 + np.exp(-odds))
+        rates = {
+            side: [tuple((np.sum(n * q * (patterns[:, k] == v)) + 1) / (np.sum(n * q) + 3) for v in (-1, 0, 1)) for k in range(5)]
+            for side, q in ((True, p), (False, 1 - p))
+        }
+        prior = (np.sum(n * p) + 1) / (np.sum(n) + 2)
+    assert found.prior == pytest.approx(prior, rel=1e-9) and abs(prior - 0.6) < 0.03
+    for k, name in enumerate(pii.LABELERS):
+        for side in (True, False):
+            assert found.given[name][side] == pytest.approx(rates[side][k], rel=1e-9)
+            assert np.abs(np.array(found.given[name][side]) - given[side][k]).max() < 0.05
+
+
+def test_written_out_addresses_end_with_their_last_label(spark):
+    texts = ["x jo.doe [at] mail [dot] co [dot] uk now", "jo(at)a-b(dot)org", "jo [at] site [dot] sub [dot] example [dot] com."]
+    pattern = re.compile(pii.SPELT_EMAIL)
+    assert [pattern.search(t)[0] for t in texts] == ["jo.doe [at] mail [dot] co [dot] uk", texts[1], texts[2][:-1]]
+
+
 def test_redaction_replaces_spans_and_nothing_else(spark):
     rows = [(1, "mail me: jo@ex.com, from 10.0.0.1 é.", "s", "en"), (2, None, "s", "en"), (3, "no data 12.5", "s", "en")]
     found = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, DOCS)).collect()}
@@ -333,6 +416,71 @@ def test_toxicity_on_documents_not_trained_on(spark):
     assert (found.toxic == (found.label == 1)).mean() > 0.95
 
 
+def test_word_vectors_are_sums_over_neighbours(spark):
+    texts = [" ".join(made_up(50 + k, 30)) + " #! SHOUT" for k in range(40)] + [None, "", "one", "two words"]
+    table = quality.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    rows, index = quality.TokenRows(), quality.index_vectors()
+    counts, sums = np.zeros(quality.BUCKETS), np.zeros((quality.BUCKETS, quality.DIMS))
+    for text in texts:
+        of = rows.of(text or "")
+        for k, row in enumerate(of):
+            counts[row] += 1
+            for near in [*of[max(0, k - 2) : k], *of[k + 1 : k + 3]]:
+                sums[row] += index[near]
+    unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(table.vectors, unit, atol=1e-6) and np.allclose(table.weights, 1e-3 / (1e-3 + counts / counts.sum()), rtol=1e-5)
+
+
+def chain_data():
+    """Two kinds, each with a word of its own that some texts have by chance; the last category is either kind."""
+    random = np.random.default_rng(18)
+    kinds = random.random((600, 2)) < 0.2
+    texts = [np.unique(np.append(random.integers(100, 140, 12), [7 + k for k in range(2) if have[k] ^ (random.random() < 0.05)])).astype(np.int32) for have in kinds]
+    return texts, np.column_stack([kinds, kinds.any(axis=1)]).astype(float)
+
+
+def test_a_chain_feeds_earlier_probabilities_to_later_models():
+    texts, y = chain_data()
+    chain = toxicity.fit_chain(texts, y)
+    assert {7, 8} <= set(chain.vocabulary.tolist())
+    found = chain.probabilities(texts)
+    weight = [dict(zip(chain.vocabulary.tolist(), m.weights)) for m in chain.models]
+    for text, row in zip(texts[:50], found):
+        before = []
+        for k, model in enumerate(chain.models):
+            assert len(model.earlier) == k
+            total = model.bias + sum(weight[k].get(t, 0.0) for t in text.tolist())
+            total += sum(w * np.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4))) for w, p in zip(model.earlier, before))
+            before.append(1 / (1 + np.exp(-total)))
+        assert row == pytest.approx(before, rel=1e-9)
+    last = chain.models[-1]
+    assert (last.earlier != 0).all()  # the verdict depends on what was found of each kind
+    assert ((found[:, -1] >= chain.threshold) == (y[:, -1] == 1)).mean() > 0.85
+
+
+def test_a_later_model_learns_from_out_of_fold_probabilities(monkeypatch):
+    texts, y = chain_data()
+    seen, plain = [], toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, chain, *rest: seen.append((x, chain)) or plain(x, chain, *rest))
+    toxicity.fit_chain(texts, y)
+    whole = [(x, chain) for x, chain in seen if x.n == len(texts)]
+    vocabulary, fold = toxicity.telling_tokens(texts, y, toxicity.WEIGHED), np.arange(len(texts)) % toxicity.FOLDS
+    x = toxicity.sparse(texts, vocabulary)
+    expected = np.empty(len(texts))
+    for f in range(toxicity.FOLDS):
+        model = plain(x.subset(fold != f), np.empty((int((fold != f).sum()), 0)), y[fold != f, 0], len(vocabulary))
+        expected[fold == f] = model.probability(x.subset(fold == f), np.empty((int((fold == f).sum()), 0)))
+    assert np.allclose(whole[1][1][:, 0], toxicity.log_odds(expected), rtol=1e-9)
+
+
+def test_the_verdict_is_that_of_the_last_category(spark):
+    docs, labels = labelled(spark)
+    found = toxicity.score_toxicity(docs, labels)
+    assert found.columns == ["doc_id", "p_toxic_prose", "p_toxic_junk", "p_toxic", "toxic"]
+    rows = found.collect()
+    assert min(r.p_toxic for r in rows if r.toxic) > max(r.p_toxic for r in rows if not r.toxic)
+
+
 def test_language_models_prefer_their_own_corpus(spark):
     docs, labels = labelled(spark)
     found = cross_entropy_difference(docs, labels.where("quality = 1")).join(labels, "doc_id").groupBy("quality").agg(F.avg("difference").alias("d"))
