@@ -22,6 +22,9 @@ PAIR, FIRST, WORD = 0, 1, 2
 #: Keys are dealt to so many buckets at least; to more where a bucket would hold more than ``BUCKET_KEYS`` keys of all blocks.
 LEAST_BUCKETS, BUCKET_KEYS = 64, 8_000_000
 
+#: Slices of text in a block: the larger it is, the fewer keys two blocks have in common, each of which is sent once for either.
+BLOCK_SLICES = 2
+
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, targets array<boolean>, tokens binary, hashes binary, n_tokens long, n_target long, n_keys long"
 ASKED = "block long, bucket int, keys binary, n binary, n_target binary"
 ANSWERED = "block long, bucket int, n binary, n_target binary, n_words long"
@@ -39,12 +42,22 @@ def rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
+def squeezed(data: bytes) -> bytes:
+    """The length, and the data compressed: its bytes have few values, so it takes far less room in shuffles and tables."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def packed(counts: np.ndarray) -> bytes:
     """A byte for each count; those from 255 on follow in full."""
-    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    return squeezed(np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<i8").tobytes())
 
 
 def unpacked(data: bytes, size: int) -> np.ndarray:
+    data = restored(data)
     counts = np.frombuffer(data, "u1", size).astype(np.int64)
     counts[counts == 255] = np.frombuffer(data, "<i8", offset=size)
     return counts
@@ -52,11 +65,11 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
 
 def planes(numbers: np.ndarray, kind: str = "<u4") -> bytes:
     """Numbers, first all their low bytes, then the next: the high ones are nearly all 0 and take no room when compressed."""
-    return numbers.astype(kind).view("u1").reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+    return squeezed(numbers.astype(kind).view("u1").reshape(-1, np.dtype(kind).itemsize).T.tobytes())
 
 
 def from_planes(data: bytes, kind: str = "<u4") -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(restored(data), "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def gaps(keys: np.ndarray) -> bytes:
@@ -71,7 +84,7 @@ def from_gaps(data: bytes) -> np.ndarray:
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each slice of documents: every token as its number within the slice, and the hashes of these numbers; 0 is the start."""
     block = TaskContext.get().partitionId() << 33
-    for batch in slices(batches):
+    for batch in slices(batches, times=BLOCK_SLICES):
         numbers: dict[str, int] = {}
         tokens = [np.fromiter((numbers.setdefault(t, len(numbers) + 1) for t in x), "<u4", len(x)) for x in map(tokens_of, batch.column("text").to_pylist())]
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in numbers), "<u8", len(numbers))
@@ -142,8 +155,9 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts over all blocks, to each block in its own order; and with block -1 how many tokens the bucket has. Rows come by bucket."""
 
     def answered(bucket: int, asked: list[tuple]) -> pa.RecordBatch:
-        sizes = [len(keys) // 8 for _, keys, _, _ in asked]
-        keys, at = np.unique(np.concatenate([from_gaps(x[1]) for x in asked]), return_inverse=True)
+        own_keys = [from_gaps(x[1]) for x in asked]
+        sizes = [len(x) for x in own_keys]
+        keys, at = np.unique(np.concatenate(own_keys), return_inverse=True)
         ends, counts = np.cumsum(sizes)[:-1], []
         for k in (2, 3):
             own = np.concatenate([unpacked(x[k], size) for x, size in zip(asked, sizes)])

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagesieve.llm import common, decontaminate, minhash, packing, passages, pii, quality, toxicity
+from pagesieve.llm import common, decontaminate, language_model, minhash, packing, passages, pii, quality, toxicity
 from pagesieve.llm import secrets as secret_scan
 from pagesieve.llm.language_model import cross_entropy_difference
 from pagesieve.llm.queries import tokenizer_files
@@ -488,6 +488,22 @@ def test_language_models_prefer_their_own_corpus(spark):
     assert means[1] < means[0]
 
 
+def test_messages_of_the_language_model_are_small_and_whole():
+    random = np.random.default_rng(5)
+    counts = random.zipf(1.5, 100_000).astype(np.int64)  # some beyond a byte
+    tokens = np.minimum(random.zipf(1.3, 100_000), 90_000).astype("<u4")
+    keys = np.sort(random.integers(0, 1 << 63, 100_000).astype("<u8"))
+    for data, whole, original in (
+        (language_model.packed(counts), lambda d: language_model.unpacked(d, len(counts)), counts),
+        (language_model.planes(tokens), language_model.from_planes, tokens), (language_model.gaps(keys), language_model.from_gaps, keys),
+    ):
+        assert np.array_equal(whole(data), original)
+        assert len(data) < len(original) * (6.5 if original is keys else 2)
+    assert len(language_model.packed(np.minimum(counts, 254))) < 0.6 * len(counts)
+    none = np.empty(0, np.int64)
+    assert len(language_model.unpacked(language_model.packed(none), 0)) == len(language_model.from_gaps(language_model.gaps(none.view("<u8")))) == 0
+
+
 def test_language_models_count_every_token_of_a_large_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(common, "SLICE_BYTES", 4000)  # so that there are many blocks
     random.seed(10)
