@@ -226,3 +226,30 @@ def test_keyphrases_shuffle_no_texts(spark):
     docs = spark.createDataFrame([("a", "red green blue")], "key string, visible_text string")
     found = extract_keyphrases(docs, stop_words=[], frequencies=train_word_frequencies(docs, stop_words=[]))
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+class Sent:
+    """A broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_rest_of_a_page_is_made_by_bounded_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from pagesieve.operators import language
+
+    texts = ["the cat", "", "ab", "über the", "the the " * 20, "x y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "folded"])
+    known = np.array([language._codes("the")[0][0]]), np.array([[-1.0, -2.0]]), np.array([-5.0, -6.0])
+    score = language._score(Sent(known), ["key"], True)
+    (whole,) = score(iter([batch]))
+    monkeypatch.setattr(language, "_SLICE_BYTES", 16)
+    parts = list(score(iter([batch])))
+    assert len(parts) > 1 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+    for row, text in zip(whole.to_pylist(), texts):
+        grams = [text[i : i + 3] for i in range(len(text) - 2)]
+        assert {r["gram"]: r["times"] for r in row["rest"]} == {g: grams.count(g) for g in grams if g != "the"}
+        assert row["n"] == len(grams) and row["known"] == ("the" in grams)
