@@ -253,3 +253,19 @@ def test_rest_of_a_page_is_made_by_bounded_slices(monkeypatch):
         grams = [text[i : i + 3] for i in range(len(text) - 2)]
         assert {r["gram"]: r["times"] for r in row["rest"]} == {g: grams.count(g) for g in grams if g != "the"}
         assert row["n"] == len(grams) and row["known"] == ("the" in grams)
+
+
+def test_pages_are_ranked_by_bounded_slices(monkeypatch):
+    import pyarrow as pa
+
+    pages = [["a", "b", "a"], [], ["of"], ["b"] * 30, ["c", "of", "d"]]
+    rare = [None, None, None, None, [{"word": "d", "df": 2}]]
+    kind = pa.list_(pa.struct([("word", pa.string()), ("df", pa.int64())]))
+    arrays = [pa.array(range(5), pa.int64()), pa.array(pages, pa.list_(pa.string())), pa.array(rare, kind)]
+    batch = pa.RecordBatch.from_arrays(arrays, ["key", "words", "_rare"])
+    rank = keyphrases_module._rank(Sent({"a": 3, "b": 1}), 5, frozenset(["of"]), "key", 3, 0.5)
+    (whole,) = rank(iter([batch]))
+    monkeypatch.setattr(keyphrases_module, "_SLICE_WORDS", 4)
+    parts = list(rank(iter([batch])))
+    assert [p.num_rows for p in parts] == [3, 1, 1]
+    assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
