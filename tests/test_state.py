@@ -230,6 +230,24 @@ def test_the_first_page_of_a_batch_wins_and_later_batches_lose(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_a_signature_meets_the_state_once_a_micro_batch(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from pagesieve.streaming import first
+
+    rows = [("x", 3, "b"), ("y", 2, "q"), ("x", 3, "a"), ("x", 9, "c"), ("y", 1, "z"), ("z", 5, "k")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("sig", "o", "k"), r))]) for r in rows]
+    for merged in (1, 2, 100):
+        monkeypatch.setattr(first, "MERGED_ROWS", merged)
+        found = [r for b in first._least_of_part(["o", "k"])(iter(batches)) for r in b.to_pylist()]
+        assert sorted((r["sig"], r["o"], r["k"]) for r in found) == [("x", 3, "a"), ("y", 1, "z"), ("z", 5, "k")]
+    assert list(first._least_of_part(["o", "k"])(iter([]))) == []
+    (tmp_path / "in").mkdir()
+    stream = first_seen(stream_pages_json(spark, str(tmp_path / "in"), max_files_per_trigger=1))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan
+
+
 def test_orders_may_be_structures_with_times(spark, tmp_path):
     schema = "key string, ingest_order struct<t: timestamp, part: int>, visible_text string, url string"
     rows = [("a", "2025-01-01 00:00:02", 0), ("b", "2025-01-01 00:00:01", 7), ("c", "2025-01-01 00:00:01", 3)]
