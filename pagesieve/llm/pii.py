@@ -146,16 +146,12 @@ class Reliabilities:
     def posterior(self) -> Column:
         """Probability of being personal data, given the votes."""
 
-        def log_odds(name: str) -> Column:
-            true, false = self.given[name][True], self.given[name][False]
-            odds = F.log(F.lit(1.0))
-            for vote in (-1, 0, 1):
-                odds = F.when(F.col(name) == vote, F.log(F.lit(true[vote + 1] / false[vote + 1]))).otherwise(odds)
-            return odds
-
-        total = F.log(F.lit(self.prior / (1 - self.prior)))
+        # A folded array is no part of the generated code, so that all rounds share it.
+        prior = F.array(F.log(F.lit(self.prior / (1 - self.prior))))
+        total = F.get(prior, F.lit(0))
         for name in LABELERS:
-            total = total + log_odds(name)
+            odds = F.array(*[F.log(F.lit(true / false)) for true, false in zip(self.given[name][True], self.given[name][False])])
+            total = total + F.get(odds, F.col(name) + 1)
         return 1 / (1 + F.exp(-total))
 
 
@@ -171,13 +167,13 @@ def estimate_reliabilities(cells: DataFrame) -> Reliabilities:
     """
     now = starting_point()
     for _ in range(ROUNDS):
-        p = now.posterior()
+        p, judged = F.col("p"), cells.withColumn("p", now.posterior())
         sums = [F.sum(F.col("n") * p).alias("true"), F.sum(F.col("n") * (1 - p)).alias("false")]
         for name in LABELERS:
             for vote in (-1, 0, 1):
                 here = F.when(F.col(name) == vote, F.col("n")).otherwise(0)
                 sums += [F.sum(here * p).alias(f"{name}_{vote}_true"), F.sum(here * (1 - p)).alias(f"{name}_{vote}_false")]
-        row = cells.agg(*sums).first()
+        row = judged.agg(*sums).first()
         if row["true"] is None:
             return now
 
@@ -199,8 +195,9 @@ class SpanClassifier:
     def probability(self, span: Column) -> Column:
         total = F.log(F.lit(self.prior / (1 - self.prior)))
         for name, feature in features(span).items():
-            for value, odds in self.odds[name]:
-                total = total + F.when(feature == value, F.log(F.lit(odds))).otherwise(0.0)
+            if self.odds[name]:
+                odds = F.create_map(*[x for value, odds in self.odds[name] for x in (F.lit(value), F.log(F.lit(odds)))])  # features are never null
+                total = total + F.coalesce(odds[feature], F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 

@@ -488,6 +488,22 @@ def test_language_models_prefer_their_own_corpus(spark):
     assert means[1] < means[0]
 
 
+def test_odds_of_spans_are_looked_up_not_compared_one_by_one(spark):
+    given = {n: {True: (0.2, 0.3, 0.5), False: (0.6, 0.3, 0.1)} for n in pii.LABELERS}
+    reliabilities = pii.Reliabilities(0.25, given)
+    assert "CASE" not in str(reliabilities.posterior())
+    rows = spark.createDataFrame([(-1, 0, 1, 1, 0), (1, 1, 1, 1, 1), (-1, -1, -1, 0, 0)], [*pii.LABELERS])
+    for row in rows.withColumn("p", reliabilities.posterior()).collect():
+        odds = 0.25 / 0.75
+        for name in pii.LABELERS:
+            odds *= given[name][True][row[name] + 1] / given[name][False][row[name] + 1]
+        assert abs(row["p"] - odds / (1 + odds)) < 1e-12
+    odds = {f: [] for f in pii.FEATURES} | {"kind": [("email", 3.0), ("ip", 0.5)]}
+    spans = spark.createDataFrame([(k, "1.2.3.4", "", "") for k in ("email", "ip", "card")], "kind string, value string, lead string, next string")
+    p = pii.SpanClassifier(0.5, odds).probability(F.struct("*"))
+    assert [round(r[0], 12) for r in spans.select(p).collect()] == [0.75, round(1 / 3, 12), 0.5]
+
+
 def test_messages_of_the_language_model_are_small_and_whole():
     random = np.random.default_rng(5)
     counts = random.zipf(1.5, 100_000).astype(np.int64)  # some beyond a byte
