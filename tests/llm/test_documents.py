@@ -218,6 +218,22 @@ def test_recall_of_passages_against_all_pairs(spark):
     assert all(whole[a] == whole[b] for a, b in links)
 
 
+def test_passages_that_only_a_confirmed_window_shares_are_found(spark):
+    """In each family a last document is similar to the whole passage, which the smallest and the largest ids confirm, but to neither of these."""
+    texts, expected = {}, set()
+    for k in range(12):
+        passage, others = made_up(7000 + k, 60), 4 if k < 8 else 20
+        first, second = ([*passage[:at], f"changed{at}", *passage[at + 1 :]] for at in (12, 46))
+        for at, part in enumerate([first] * (others // 2) + [passage, second] + [first] * (others // 2)):
+            noise = made_up(8000 + 100 * k + at, 120)
+            texts[100 * k + at] = " ".join(noise[:60] + part + noise[60:])
+        expected.add((100 * k + others // 2, 100 * k + others // 2 + 1))
+    found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    links = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in found}
+    assert expected <= links
+    assert not {b for a, b in expected} & {x for link in links - expected for x in link}
+
+
 def test_passages_with_insertions_are_found_from_either_side():
     hashes, words = common.WordHashes(), [w.encode() for w in made_up(12, 400)]
     passage = words[:60]
