@@ -12,7 +12,7 @@ from pagesieve.operators import keyphrases as keyphrases_module
 from pagesieve.operators import language as language_module
 from pagesieve.operators.entities import extract_entities, format_entities, pattern_entities
 from pagesieve.operators.keyphrases import extract_keyphrases, train_word_frequencies
-from pagesieve.operators.language import detect_language, train_language_profile, trigrams
+from pagesieve.operators.language import count_trigrams, detect_language, train_language_profile, trigrams
 from pagesieve.schemas import LANGUAGE_PROFILE, Options
 
 TEXTS = [("Abc ab! abc", "en"), ("xyz xyz", "fr"), ("ab", "fr"), ("ünï 12 ünï", "de"), ("skip", None)]
@@ -269,3 +269,13 @@ def test_pages_are_ranked_by_bounded_slices(monkeypatch):
     parts = list(rank(iter([batch])))
     assert [p.num_rows for p in parts] == [3, 1, 1]
     assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+
+
+def test_trigrams_are_counted_without_a_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(language_module, "_HELD_GRAMS", 3)
+    texts = [*TEXTS, ("Ünï 中文字符 𝒳𝒴𝒵 x", "DE"), ("", "de"), (None, "fr"), ("ab", "fr"), ("abc abc", None)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    expected = Counter((lang.lower(), g) for text, lang in texts if lang for g in grams(text or ""))
+    counts = count_trigrams(df)
+    assert {(r.lang, r.gram): r.n for r in counts.collect()} == expected
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
