@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,71 @@ def test_passages_that_only_a_confirmed_window_shares_are_found(spark):
     assert not {b for a, b in expected} & {x for link in links - expected for x in link}
 
 
+def windows_of(texts: list[str]) -> list[dict]:
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    return [row for found in passages.windows(iter([batch])) for row in found.to_pylist()]
+
+
+def test_windows_repeated_in_a_text_have_an_earlier_place_and_are_few():
+    """Runs of one word, repeated lines and repeated phrases; a window that is left out lies whole in an earlier one of its value, or in
+    a run whose beginning is kept."""
+    random.seed(4)
+    line, phrase, noise = made_up(91, 70), made_up(92, 9), made_up(93, 400)
+    texts = ["a " * 3000 + "b " * 3000, " ".join(line * 40), " ".join(phrase * 300 + noise[:60] + phrase * 300)]
+    texts.append(" ".join(w for w in noise[:40] for _ in range(random.randrange(1, 60))))
+    texts.append(" ".join(noise[:200] + line + noise[200:] + line + noise[:100]))
+    kept, hashes = windows_of(texts), common.WordHashes()
+    assert len(kept) < 2500
+    for doc_id, text in enumerate(texts):
+        shingles = common.shingle_hashes(hashes.of([w.encode() for w in text.split()]), 5)
+        for k, seed in enumerate(passages.SEEDS):
+            values = common.mix(shingles ^ seed)
+            own = [(r["first"], r["centre"], r["last"]) for r in kept if (r["doc_id"], r["function"]) == (doc_id, k)]
+            every = list(zip(*(x.tolist() for x in passages.compact_windows(values, np.zeros(len(values), int), passages.LEAST))))
+            assert set(own) <= set(every)
+            centres = {c: (f, e) for f, c, e in own}
+            for first, centre, last in random.sample(sorted(set(every) - set(own)), min(200, len(every) - len(own))):
+                start = centre
+                while start and shingles[start - 1] == shingles[centre]:
+                    start -= 1
+                content = shingles[first : last + 1]
+                assert start < centre or any(
+                    c < centre and values[c] == values[centre] and f <= c - (centre - first) and c + (last - centre) <= e
+                    and np.array_equal(shingles[c - (centre - first) : c + (last - centre) + 1], content)
+                    for c, (f, e) in centres.items()
+                )
+
+
+def test_passages_are_found_among_runs_of_words_and_repeated_lines(spark):
+    """The same 60 words after runs of other lengths, beside lines that come many times, and twice in one text."""
+    line, texts, expected = made_up(94, 60), {}, set()
+    for k in range(6):
+        passage, noise = made_up(9100 + k, 60), made_up(9200 + k, 900)
+        parts = (["x"] * (30 + 150 * k) + passage, ["x"] * 40 + passage, passage + noise[:50] + passage, (line + noise[850:]) * 3 + passage + ["x"] * 700)
+        for at, part in enumerate(parts):
+            texts[10 * k + at] = " ".join(noise[200 * at + 50 : 200 * at + 110] + part + noise[200 * at + 110 : 200 * at + 150])
+        expected |= {(10 * k + a, 10 * k + b) for a, b in itertools.combinations(range(4), 2)}
+    found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    links = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in found}
+    assert expected <= links
+
+
+def test_windows_whose_value_no_other_document_has_are_not_written(spark, monkeypatch):
+    """What op3 keeps on disk is the windows of shared values and one row a key of these, not every window."""
+    passage, written, cut = made_up(95, 60), [], passages.cut_lineage
+    texts = [(k, " ".join(made_up(9300 + k, 600) + (passage if k < 2 else []))) for k in range(40)]
+
+    def counted(df):
+        kept = cut(df)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(passages, "cut_lineage", counted)
+    found = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in found} in ({(0, 1)}, {(1, 0)})
+    assert max(written) <= 150
+
+
 def test_passages_with_insertions_are_found_from_either_side():
     hashes, words = common.WordHashes(), [w.encode() for w in made_up(12, 400)]
     passage = words[:60]
