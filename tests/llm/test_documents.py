@@ -312,6 +312,61 @@ def test_passages_with_insertions_are_found_from_either_side():
             assert (s, e, t, u, j) == (60, 116, 80, 136 + inserted, pytest.approx(52 / (56 + 56 + inserted - 52)))
 
 
+def covered(found, doc_id: int) -> set[int]:
+    """The words of a document that are in a passage of either side."""
+    spans = [(r.start_word, r.n_words) for r in found if r.doc_id == doc_id] + [(r.other_start, r.other_words) for r in found if r.other_doc_id == doc_id]
+    return {w for start, n in spans for w in range(start, start + n)}
+
+
+def test_every_place_of_a_passage_in_a_text_is_reported(spark):
+    """A passage in the middle of words that come twice in one document, the second time after others, and of two documents only once."""
+    passage, noise = made_up(9501, 70), made_up(9502, 3200)
+    block = noise[:1500] + passage + noise[1500:3000]
+    texts = {1: noise[3000:3060] + passage + noise[3060:3120], 2: block + noise[3120:3160] + block, 3: passage + noise[3160:]}
+    found = passages.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")).collect()
+    held = {start + w for start in (1500, 4610) for w in range(70)}
+    assert len(held - covered(found, 2)) <= 12 and len(covered(found, 2) - held) <= 24
+    assert covered(found, 1) >= set(range(64, 126)) and covered(found, 3) >= set(range(4, 66))
+
+
+def test_passages_are_found_after_rounds_that_link_no_documents(spark):
+    """60 documents hold one line too short for a passage; of them some pairs share the words after it too, but for one between."""
+    line, texts, expected = made_up(9601, 42), {}, set()
+    rest = {20 + 2 * k + at: made_up(9700 + k, 14) for k in range(8) for at in (0, 1)}
+    for k in range(60):
+        noise = made_up(9800 + k, 120)
+        texts[k] = " ".join(noise[:50] + line + [f"own{k}", *rest.get(k, [])] + noise[50:])
+    expected = {(20 + 2 * k, 21 + 2 * k) for k in range(8)}
+    found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.other_doc_id))) for r in found} == expected
+
+
+def test_hashes_of_words_are_the_same_for_whole_texts():
+    random.seed(31)
+    alphabet = "abAB\n\t xyz\0é漢\x1c\u2003"
+    texts = ["", "a", "  A b  c\x0bd\x0ce\tf ", "x" * 64 + " " + "y" * 65 + " " + "z" * 300 + " q r s", "a\0 a a\0\0 b"]
+    texts = [t.encode() for t in texts + ["".join(random.choices(alphabet, k=random.randrange(200))) for _ in range(300)]]
+    hashes, one_by_one = passages.TextHashes(), common.WordHashes()
+    for _ in range(2):
+        values, counts = hashes.of(texts)
+        each = [one_by_one.of(t.lower().split()) for t in texts]
+        assert counts.tolist() == [len(x) for x in each] and np.array_equal(values, np.concatenate(each))
+        every, sizes = hashes.shingles(texts)
+        each = [common.shingle_hashes(x, 5)[: max(len(x) - 4, 0)] for x in each]
+        assert sizes.tolist() == [len(x) for x in each] and np.array_equal(every, np.concatenate(each))
+    assert [x.tolist() for x in hashes.shingles([])] == [[], []]
+
+
+def test_passages_are_found_beside_shared_words_that_are_no_part_of_them():
+    """The longest shared stretch ends with words that come elsewhere in the other text, and is not similar to it as a whole."""
+    hashes, words = common.WordHashes(), [w.encode() for w in made_up(13, 400)]
+    first, second, line, other = words[:22], words[22:59], words[60:72], words[300:330]
+    a = common.shingle_hashes(hashes.of(other + words[100:130] + first + words[130:133] + second + line + words[140:200]), 5)
+    b = common.shingle_hashes(hashes.of(line + words[200:230] + first + second + other + words[230:290]), 5)
+    assert [(s, e, t, u) for s, e, t, u, _ in passages.common_passages(a, b)] == [(60, 118, 42, 97)]
+    assert [(s, e, t, u) for s, e, t, u, _ in passages.common_passages(b, a)] == [(42, 97, 60, 118)]
+
+
 def test_compact_windows_against_their_definition():
     random.seed(7)
     for n, least in ((1, 1), (30, 4), (40, 7), (5, 6)):
